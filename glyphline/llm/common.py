@@ -44,6 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fenced(col: Column) -> Column:
+    """``col``, so that the optimiser doesn't move filters on it below the projection that makes it.
+
+    A filter that is moved takes the whole expression along, once for each mention,
+    and nested higher-order functions then grow beyond all bounds. An expression
+    that isn't deterministic stays where it is; this one has the same value always.
+    """
+    return F.when(F.rand(0) >= 0.0, col)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
