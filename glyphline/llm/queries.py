@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphline.llm import chat, fingerprints, mixing, quality, sharding, token_counts, token_output
+from glyphline.llm import chat, fingerprints, language_id, mixing, quality, sentencepiece_codec, sharding, simhash, token_counts, token_output
 from glyphline.llm.common import documents
 
 
@@ -14,14 +14,26 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.codec_report(documents(spark, sf_dir))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(documents(spark, sf_dir))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, write the plane-shuffled files, read them back."""
     return token_output.round_trip(documents(spark, sf_dir).select("doc_id", "text"))
@@ -40,7 +52,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_fingerprints, op5_quality_rules, op7_token_output, op8_token_counts, op9_sharding, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_sentencepiece, op3_fingerprints, op4_language_id, op5_quality_rules,
+        op6_simhash, op7_token_output, op8_token_counts, op9_sharding, op10_mixing,
+    )
 }
 
 SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op5_quality_rules": quality.SQL}
