@@ -18,15 +18,20 @@ from glyphline.llm.common import fresh_dir
 MIN_SCORE = 0.5
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """text, and row with all columns, so that no name of a stage's own meets one of them."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is known; without letters or between languages they go."""
-    found = language_id.identify(docs, language_id.learn(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = language_id.identify(packed(docs), language_id.learn(docs))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that no rule rejects."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.judge(packed(docs)).where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats every document as often as the mixture takes it; those it doesn't take go."""
     taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    mixed = packed(docs).join(taken, F.col("row.doc_id").eqNullSafe(F.col("taken_id")))
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
         if not over:
             return out | {n: left * weight[n] / total for n in free}
         for n in over:
-            out[n] = cap * sizes[n]
+            out[n] = float(cap * sizes[n])
         left -= math.fsum(out[n] for n in over)
         free = [n for n in free if n not in out]
     return out
@@ -127,7 +127,7 @@ def mix(
     facts = {r["source"]: (r["b"], r["n"], aim[r["source"]]) for r in names}
     lam = solve(table, facts, cap)
     by_source = spark.createDataFrame(
-        [(s, b, t, b / n if n else 1.0, min(lam[s], 1e9) if s in lam else None) for s, (b, n, t) in facts.items()],
+        [(s, b, float(t), b / n if n else 1.0, min(lam[s], 1e9) if s in lam else None) for s, (b, n, t) in facts.items()],
         "source string, source_size long, target double, mean double, lam double",
     )
     size = F.col("size")
@@ -156,7 +156,7 @@ def _fill(rows: DataFrame, cap: int, last: bool = False) -> DataFrame:
     """
     spark = rows.sparkSession
     room = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("room"))
-    room = spark.createDataFrame([(r["source"], r["room"]) for r in room.collect()], "name string, room double")
+    room = spark.createDataFrame([(r["source"], float(r["room"])) for r in room.collect()], "name string, room double")
     rows = rows.join(F.broadcast(room), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     able = F.col("turn").isNotNull() & (F.col("copies") < cap) & (F.col("size") <= F.col("room"))
     weight = F.when(able, F.col("size")).otherwise(0)
