@@ -18,20 +18,29 @@ from glyphline.llm.common import fresh_dir
 MIN_SCORE = 0.5
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """text, and row with all columns, so that no name of a stage's own meets one of them."""
-    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns in0, in1, ..., so that no name of a stage's own meets one of them."""
+    return docs.toDF(*[f"in{i}" for i in range(len(docs.columns))])
+
+
+def named(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``numbered(docs)`` in ``df`` under their own names."""
+    return df.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def place(docs: DataFrame, col: str) -> str:
+    return f"in{docs.columns.index(col)}"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is known; without letters or between languages they go."""
-    found = language_id.identify(packed(docs), language_id.learn(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
+    found = language_id.identify(numbered(docs), language_id.learn(docs), place(docs, "text"))
+    return named(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)), docs)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that no rule rejects."""
-    return quality.judge(packed(docs)).where("kept").select("row.*")
+    return named(quality.judge(numbered(docs), place(docs, "text")).where("kept"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +52,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats every document as often as the mixture takes it; those it doesn't take go."""
     taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
-    mixed = packed(docs).join(taken, F.col("row.doc_id").eqNullSafe(F.col("taken_id")))
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    mixed = numbered(docs).join(taken, F.col(place(docs, "doc_id")).eqNullSafe(F.col("taken_id")))
+    return named(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

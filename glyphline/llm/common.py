@@ -102,5 +102,6 @@ def map_texts(
                     for f in fields
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*kept, *[f.name for f in fields]])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from glyphline.llm.tables import KeyTable
 from glyphline.llm.token_counts import tokenizer_path
 
 SPACE = "▁"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 120_000
 NONE = np.int32(2**31 - 1)
 
 

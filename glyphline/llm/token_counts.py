@@ -31,7 +31,7 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Blocks whose classes have been the same in all Unicode versions since 5.2;
 #: a text outside them is split by the library itself.
 SETTLED = re.compile(r"[^\t-\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥！-～]")
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 
 
 def byte_symbols() -> list[str]:
