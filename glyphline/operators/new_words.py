@@ -65,7 +65,7 @@ def from_counts(counts: DataFrame, min_freq: int = 10, min_cohesion: float = 80,
     return (
         words.join(left, "word").join(right, "word")
         .select("word", "freq", F.least("l", "r").alias("entropy"))
-        .where(F.col("entropy") > min_entropy)
+        .where(F.round("entropy", 9) > min_entropy)  # so that sums in another order don't decide
     )
 
 

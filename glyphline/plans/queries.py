@@ -217,7 +217,7 @@ w AS (SELECT a.gram AS word, a.freq FROM f a JOIN f k1 ON k1.gram = substr(a.gra
   WHERE length(a.gram) BETWEEN 2 AND 4 AND a.freq > 10 AND a.freq * total / greatest(k1.freq::DOUBLE * k2.freq, k3.freq::DOUBLE * k4.freq) > 80),
 l AS (SELECT word, -sum(f / t * log2(f / t)) AS e FROM (SELECT substr(gram, 2) AS word, freq::DOUBLE AS f, sum(freq) OVER (PARTITION BY substr(gram, 2)) AS t FROM f WHERE length(gram) >= 3) GROUP BY word),
 q AS (SELECT word, -sum(f / t * log2(f / t)) AS e FROM (SELECT substr(gram, 1, length(gram) - 1) AS word, freq::DOUBLE AS f, sum(freq) OVER (PARTITION BY substr(gram, 1, length(gram) - 1)) AS t FROM f WHERE length(gram) >= 3) GROUP BY word)
-SELECT w.word, w.freq, round(least(l.e, q.e), 6) AS entropy FROM w JOIN l USING (word) JOIN q USING (word) WHERE least(l.e, q.e) > 1""")
+SELECT w.word, w.freq, round(least(l.e, q.e), 6) AS entropy FROM w JOIN l USING (word) JOIN q USING (word) WHERE round(least(l.e, q.e), 9) > 1""")
 def new_word_discovery(spark, sf_dir):
     out = new_words.discover(table(spark, sf_dir, "documents"), min_entropy=1)
     return out.select("word", "freq", F.round("entropy", 6).alias("entropy"))
@@ -303,10 +303,10 @@ def entity_measures(spark, sf_dir):
 @query("""
 SELECT c_custkey, 'org' AS gold_type, 5 AS gold_start, 'org' AS pred_type, 6 AS pred_start, '丁戊己庚辛壬癸' AS context FROM customer WHERE c_custkey % 3 = 1
 UNION ALL SELECT c_custkey, 'per', 0, 'org', 0, '甲乙丙丁' FROM customer WHERE c_custkey % 3 = 2
-UNION ALL SELECT c_custkey, 'org', 5, NULL, NULL, '丁戊己庚辛壬癸' FROM customer WHERE c_custkey % 3 = 2""")
+UNION ALL SELECT c_custkey, 'org', 5, '', -1, '丁戊己庚辛壬癸' FROM customer WHERE c_custkey % 3 = 2""")
 def entity_differences(spark, sf_dir):
     out = datasets.entity_differences(_spans(spark, sf_dir), pad=2)
-    return out.select("c_custkey", F.col("gold_entity.type").alias("gold_type"), F.col("gold_entity.start").alias("gold_start"), F.col("pred_entity.type").alias("pred_type"), F.col("pred_entity.start").alias("pred_start"), "context")
+    return out.select("c_custkey", F.col("gold_entity.type").alias("gold_type"), F.col("gold_entity.start").alias("gold_start"), F.coalesce("pred_entity.type", F.lit("")).alias("pred_type"), F.coalesce("pred_entity.start", F.lit(-1)).alias("pred_start"), "context")
 
 
 @query("""
