@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Most rows of a batch that is sent to a worker: texts are long, so few of them fill it.
+BATCH_ROWS = 2_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see: ``spark.checkpoint.dir``.
 
@@ -79,6 +83,9 @@ def map_texts(
     ``fields`` are replaced by the result. Batches are worked on in slices of
     ``slice_rows`` texts, so that memory does not follow the Arrow batch.
     """
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     new = {f.name for f in fields}
     if text_col in new:
         raise ValueError(f"output column {text_col!r} would replace the input text")
