@@ -310,7 +310,8 @@ def bytes_to_chars(col: Text) -> Column:
 def chars_to_bytes(col: Text) -> Column:
     """Text of stand-ins; bytes that are no UTF-8 become U+FFFD."""
     alphabet = byte_alphabet()
-    latin = F.translate(_c(col), "".join(alphabet), "".join(map(chr, range(256))))
+    latin = F.translate(_c(col), "".join(alphabet[1:]), "".join(map(chr, range(1, 256))))
+    latin = F.replace(latin, F.lit(alphabet[0]), F.lit("\x00"))  # translate() deletes for a zero
     return F.make_valid_utf8(F.decode(F.encode(latin, "ISO-8859-1"), "UTF-8"))
 
 
@@ -336,7 +337,7 @@ def number_to_chinese(col: Text, style: str = "formal") -> Column:
             d = F.substring(group, 1 + k, 1)
             part = F.concat(part, F.when(d == "0", F.lit("零")).otherwise(F.concat(F.translate(d, "0123456789", digits), F.lit(small[3 - k]))))
         part = F.regexp_replace(F.regexp_replace(part, "零+", "零"), "零\\z", "")
-        out = F.concat(out, F.when(group == "0000", F.lit("零")).otherwise(F.concat(part, F.lit(large[3 - g]), F.when(group.endswith("0"), F.lit("零")).otherwise(F.lit("")))))
+        out = F.concat(out, F.when(group == "0000", F.lit("零")).otherwise(F.concat(part, F.lit(large[3 - g]))))
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "零+", "零"), "\\A零", ""), "零\\z", "")
     if style == "plain":
         out = F.regexp_replace(out, "\\A一十", "十")

@@ -79,7 +79,7 @@ class Gazetteer:
                 if p[: level + 1] == path[: level + 1] and (level not in used or (full, -start) > (used[level][2], -used[level][0])):
                     used[level] = (start, name, full)
             spans, ok = sorted((s, s + len(n), lv) for lv, (s, n, _) in used.items()), {}
-            for s, e, lv in spans:
+            for s, e, lv in sorted(spans, key=lambda x: (x[0] - x[1], x)):
                 if all(s >= e2 or e <= s2 for s2, e2 in ok.values()):
                     ok[lv] = (s, e)
             ordered = [ok[lv][0] for lv in sorted(ok)]

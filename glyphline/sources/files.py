@@ -66,7 +66,7 @@ def read_outline(spark: SparkSession, path: str, levels: int = 5) -> DataFrame:
     A dictionary is one small file, read in one task in the order of its lines; its
     window is over that file, never over a corpus.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
     lines = lines.where(F.trim(F.translate("raw", "\t", " ")) != "").select("line", (F.length("raw") - F.length(F.expr("ltrim('\t', raw)"))).alias("depth"), F.expr("ltrim('\t', raw)").alias("value"))
     name = F.split("value", "\t")[0]
     out = lines
@@ -82,7 +82,7 @@ def read_outline(spark: SparkSession, path: str, levels: int = 5) -> DataFrame:
 
 def read_sections(spark: SparkSession, path: str, header: str = r"\A(.+):\z") -> DataFrame:
     """section, value of a file of headed parts (continents and their countries, places and their number ranges)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where(F.trim("value") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where(F.trim("value") != "")
     head = F.regexp_extract("value", header, 1)
     return lines.withColumn("section", F.last(F.when(head != "", head), True).over(Window.orderBy("line"))).where(head == "").select("line", "section", "value")
 
