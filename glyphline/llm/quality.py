@@ -24,7 +24,7 @@ from glyphline.llm.common import WORD, fenced, text_or_empty
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
-#: Rows from which costs and selectivities are estimated.
+#: Rows from which costs and selectivities are estimated (expected; twice as many at most).
 SAMPLE_ROWS = 1_000
 
 
@@ -130,7 +130,10 @@ def cascade(order: list[str]) -> Column:
 def judge(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with the measures, base_failed and kept."""
     measured = measure(docs, text_col)
-    order = plan_order(measure(docs.limit(2 * sample_rows), text_col), sample_rows)
+    # sampled before anything moves: a limit alone would send that many whole texts of every partition to one task
+    n = max(1, docs.count())
+    few = docs.sample(min(1.0, sample_rows / n), seed=7).limit(2 * sample_rows)
+    order = plan_order(measure(few, text_col), sample_rows)
     return measured.withColumn("kept", cascade(order)).drop("_text")
 
 
