@@ -43,17 +43,30 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return named(quality.judge(numbered(docs), place(docs, "text")).where("kept"), docs)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``numbered(docs)`` with ``row_key``, a 256-bit digest of the whole row: rows have one key only if they are equal in all columns."""
+    own, text = numbered(docs), place(docs, "text")
+    rest = F.to_json(F.struct(*[F.col(c) for c in own.columns if c != text]))
+    return own.withColumn("row_key", F.unhex(F.sha2(F.concat(F.coalesce(F.sha2(text, 256), F.lit("")), rest), 256)))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id in each group; rows of one doc_id are one document."""
-    heads = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each class: that of the smallest doc_id, and among equal or only null ids that of the smallest digest.
+
+    A doc_id doesn't make a document: rows of other texts that share it, or have none, stay unless their texts are alike.
+    """
+    rows = keyed(docs)
+    heads = simhash.first_rows(rows, "row_key", place(docs, "doc_id"), place(docs, "text"))
+    return named(rows.join(heads, "row_key", "left_semi").dropDuplicates(["row_key"]), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats every document as often as the mixture takes it; those it doesn't take go."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
-    mixed = numbered(docs).join(taken, F.col(place(docs, "doc_id")).eqNullSafe(F.col("taken_id")))
-    return named(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs)
+    """Repeats every row as often as the mixture takes it; those it doesn't take go. Equal rows are repeated as often as all of them are taken."""
+    rows = keyed(docs)
+    mixed = mixing.mix(rows, id_col=place(docs, "doc_id"), text_col=place(docs, "text"), source_col=place(docs, "source"), keep=("row_key",))
+    taken = mixed.where("copies > 0").groupBy("row_key").agg(F.sum("copies").cast("int").alias("copies"))
+    rows = rows.join(taken, "row_key").dropDuplicates(["row_key"])
+    return named(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

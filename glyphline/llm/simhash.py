@@ -318,5 +318,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_rows(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key_col`` of one row of each class: that of the smallest doc_id, null last, then of the smallest key.
+
+    Classes are told apart by their fingerprints, not by ids, so ids may be null or used again.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(key_col).alias("row_key"))
+    marked = cut(add_fingerprint(rows).select("doc_id", "row_key", "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    groups = cut(marked.groupBy("fp").agg(F.min(order).alias("head")))
+    roots = components(link(groups))
+    classes = groups.join(roots, F.col("fp") == F.col("node"), "left")
+    return classes.groupBy(F.coalesce("root", "fp").alias("class")).agg(F.min("head").alias("head")).select(F.col("head.row_key").alias(key_col))
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

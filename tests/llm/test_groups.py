@@ -257,3 +257,45 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).columns[0] == "doc_id"
     no_documents(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def reused_ids():
+    """Different texts without an id and with a reused one; classes of such rows alone; equal rows."""
+    rng = random.Random(21)
+    texts = [prose(rng, 60 + k) for k in range(30)]
+    rows = [(None, t, "en", "web", len(t)) for t in texts[:10]]
+    rows += [(None, texts[0], "fr", None, 1), (None, texts[0], None, "fr", 1), (None, texts[1].upper(), "en", "web", 1), rows[2], rows[2]]
+    rows += [(7, t, "en", "books", len(t)) for t in texts[10:20]] + [(7, texts[10], "en", "web", 1), (8, texts[11], "en", "web", 1)]
+    rows += [(k, t, "en", "books", len(t)) for k, t in enumerate(texts[20:])] + [(None, texts[20], "en", "web", 0), (7, texts[25], "en", "books", 0)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_pipeline_keeps_a_row_of_each_class_whatever_its_id(spark):
+    import corpus_pipeline as cp
+
+    rows = reused_ids()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    prints = [fingerprint(t) for _, t, *_ in rows]
+    known = sorted(set(prints))
+    of = dict(zip(known, classes(known), strict=True))
+    held = defaultdict(list)
+    for r, p in zip(rows, prints, strict=True):
+        held[of[p]].append(r)
+    runs = [[tuple(r) for r in cp.drop_near_duplicates(spark, docs.repartition(n), "").collect()] for n in (1, 5)]
+    assert sorted(map(repr, runs[0])) == sorted(map(repr, runs[1]))
+    got = {of[fingerprint(r[1])]: r for r in runs[0]}
+    assert len(runs[0]) == len(got) == len(held) >= 30
+    for c, r in got.items():
+        assert r in held[c] and r[0] == min((x[0] for x in held[c] if x[0] is not None), default=None)
+
+
+def test_pipeline_mixes_rows_whatever_their_id(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame(reused_ids(), SCHEMA)
+    got = Counter(map(tuple, cp.mix_sources(spark, docs, "").collect()))
+    want = Counter()
+    for r in mixing.mix(docs, keep=("text", "lang", "n_chars")).collect():
+        want[r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]] += r["copies"]
+    assert got == +want
