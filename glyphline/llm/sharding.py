@@ -33,14 +33,16 @@ from glyphline.llm.common import WORD, cut, text_or_empty
 
 #: Bytes added to every row's size: its length field.
 ROW_BYTES = 8
+#: Share of a shard's capacity by which the bytes left of two bins may differ and both take bundles of the tail.
+SLACK = 0.002
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     """Bin of each row of ``vectors`` (bytes, words, rows), by dot product with the residual capacity.
 
     Bytes are what must come out even, so a bundle fits a bin only while the
-    bin's bytes stay within capacity, and the last tenth of the bytes goes to
-    the bin with the most bytes left; words and rows steer the rest.
+    bin's bytes stay within capacity, and for the last tenth of the bytes only bins whose
+    bytes left are within ``SLACK`` of a capacity of the most take part; words and rows decide among them.
     """
     total = vectors.sum(0)
     capacity = np.where(total > 0, total / shards, 1.0)
@@ -53,10 +55,10 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     for i in order:
         fits = left[:, 0] >= v[i, 0]
         if done < ending and fits.any():
-            score = np.where(fits, left @ v[i], -np.inf)
-            k = int(score.argmax())
+            able = fits
         else:
-            k = int(left[:, 0].argmax())
+            able = left[:, 0] >= left[:, 0].max() - SLACK
+        k = int(np.where(able, left @ v[i], -np.inf).argmax())
         left[k] -= v[i]
         done += v[i, 0]
         out[i] = k

@@ -165,6 +165,16 @@ def test_equal_texts_stay_together(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tail_is_placed_by_rows_and_words_too(seed):
+    g = np.random.default_rng(seed)
+    rows, words = g.poisson(20, 12_288) + 1.0, g.gamma(2, 2000, 12_288).round()
+    vectors = np.stack([(words * g.uniform(5, 7, 12_288)).round(), words, rows], 1)
+    at = sharding.place(vectors, 24)
+    share = np.array([vectors[at == k].sum(0) for k in range(24)]) / (vectors.sum(0) / 24)
+    assert 0.998 < share.min() and share.max() < 1.002
+
+
 # -- mixtures -----------------------------------------------------------------------
 def size_of(text):
     return len([w for w in WHITE.split(text or "") if w])
