@@ -464,6 +464,18 @@ def back_translations(spark, sf_dir):
     return services.keep_translations(out).select("id", "service", "text", "translated")
 
 
+@query(
+    f"SELECT DISTINCT {_s('conv_id')} AS id, t AS text, language, concat(t, ' ', language, ' zh') AS translated FROM (SELECT conv_id, substring(text, 1, CAST(1 + turn % 6 AS INT)) AS t FROM conversations), "
+    "(VALUES ('en'), ('ja')) AS l(language) WHERE length(t) > 0 AND length(t) + 6 <= 3 * length(t)"
+)
+def back_translations_kept(spark, sf_dir):
+    """Stand-in services that append the target language, over the heads of texts: short ones grow too much, repeated ones and those of the second service go."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "substring(text, 1, CAST(1 + turn % 6 AS INT)) AS text").where("length(text) > 0")
+    service = (lambda: lambda t, a, b: f"{t} {b}", ["zh", "en", "ja"])
+    out = services.back_translations(rows, "conv_id", "text", {"one": service, "two": service})
+    return services.keep_translations(out).select("id", "text", "language", "translated")
+
+
 @query("SELECT conv_id, turn, array_to_string(list_transform(string_split(text, ' '), lambda x: length(x)::STRING), ' ') AS tags FROM conversations")
 def batched_labels(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("tk"))

@@ -194,3 +194,9 @@ def test_catalog(spark):
     names = {r["name"] for r in catalog.functions(spark).collect()}
     assert {"clean_text", "parse_time", "discover", "search"} <= names
     assert catalog.search(spark, "money").first()["name"].endswith("money")
+
+
+def test_registered_back_translations_keep_rows(spark, sf_dir):
+    from glyphline.plans import queries as plans
+
+    assert plans.QUERIES["back_translations_kept"](spark, sf_dir).count() > 0
