@@ -309,3 +309,24 @@ def test_pipeline_mixes_rows_whatever_their_id(spark):
     for r in mixing.mix(docs, keep=("text", "lang", "n_chars")).collect():
         want[r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]] += r["copies"]
     assert got == +want
+
+
+def test_pipeline_quality_and_mixture_against_brute_force(spark, sf_dir):
+    import corpus_pipeline as cp
+    import duckdb
+
+    from glyphline.llm import quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    kept = con.execute(f"SELECT doc_id FROM ({quality.SQL}) WHERE kept").fetchall()
+    assert sorted(r["doc_id"] for r in cp.apply_quality_rules(spark, docs, sf_dir).select("doc_id").collect()) == sorted(d for (d,) in kept)
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs.collect()]
+    taken = Counter(r["doc_id"] for r in cp.mix_sources(spark, docs, sf_dir).select("doc_id").collect())
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += size_of(t)
+    target = want_targets(sizes)
+    got = [{"source": s, "size": size_of(t), "taken": taken[d] * size_of(t), "source_size": sizes[s], "target": target[s]} for d, t, _, s, _ in rows]
+    check_mix(rows, got, lambda t: max(r["size"] for r in got))
