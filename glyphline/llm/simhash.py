@@ -2,27 +2,35 @@
 
 1. Every text gets a 64-bit fingerprint of its 4-word shingles (a worker function over Arrow batches).
    Only (doc_id, fingerprint) goes on, and equal fingerprints are grouped at once.
-2. Distinct fingerprints are partitioned by Hamming distance. In 64 nearly random bits a triangle
-   bound of radius 4 alone leaves about 70 % of both branches alive at each vantage point, so the first
-   level looks at a projection: of five blocks of 12 or 13 bits, two fingerprints at distance 4
-   or less agree wholly in one (pigeonhole), so a fingerprint has one home in each of five
-   forests, the shard at distance 0 from its block. A shard with more than ``SHARD``
-   fingerprints is split further by a vantage-point tree built on a bounded sample of
-   it: a fingerprint goes to the leaf on its side of every vantage point, and as a guest to the leaves
-   beyond a boundary that its radius overlaps.
-3. In a shard, linked fingerprints are joined by a search over a local vantage-point tree with pruned
-   and exhausted branches skipped; only the links of a spanning forest are emitted, never
-   all pairs of a group. No candidate is capped or dropped.
-4. Components of the forest's links are found by alternating large and small stars,
-   two or three rounds of joins and aggregations, each cut by a checkpoint.
+2. Distinct fingerprints are dealt to shards by vantage-point trees: a node holds a vantage point and
+   a distance, and every fingerprint goes to its side of it. The trees are grown on a sample that
+   follows the number of fingerprints (about ``SAMPLES`` for each ``SHARD`` of them, ``MOST_SAMPLES`` at most)
+   and are always grown, whatever the size.
+   In 64 nearly random bits a triangle bound of radius 4 leaves two of three points on both sides of a
+   median boundary, so a tree over whole fingerprints would copy each point 1.3 times a level. Distances are
+   therefore taken in projections first: of six blocks of 10 or 11 bits, two fingerprints at distance 4 or
+   less agree wholly in two (pigeonhole), so for one of the 15 pairs of blocks their distance
+   within these 21 or 22 bits is 0. A tree a pair, searched with radius 0, has no
+   boundary that a neighbour could lie across: a fingerprint sits in 15 shards at any depth. Where a
+   shard's points all agree in the projection, the tree goes on by the distance of whole fingerprints, and
+   those within the radius of a boundary visit the shard beyond it as guests.
+3. In a shard the tree is grown on, down to ``LEAF`` points, for all shards of a task at once; the branch on
+   the other side of a boundary is pruned. Where the projection has nothing left to tell apart, a local tree over whole
+   fingerprints is searched with radius 4, its branches pruned by the triangle bound. Only the
+   links of spanning forests are emitted, never all pairs of a group. No candidate is capped or dropped.
+4. Components of the forests' links are found by alternating large and small stars; joins on a node
+   are salted, so the links of a hub are spread, and every step is cut by a checkpoint.
 
 Null text and texts without words have fingerprint zero, which links like any other. A null doc_id
-is never the smallest id unless all are null. Repeated rows come out each. Empty table: no rows.
+is never the smallest id unless all are null. Equal ids or texts and repeated rows come out each. A very long text
+is hashed whole, in memory of its own size. Further columns are not read, whatever their names. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +42,20 @@ from pyspark.sql import types as T
 from glyphline.llm.common import cut, map_texts
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Fingerprints of a shard before it is split; sampled fingerprints for the tree that splits it; leaf of a local tree.
-SHARD, SAMPLE, LEAF = 50_000, 512, 1024
+#: First bit and width of the blocks; a projection keeps two of them.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Fingerprints of a shard, as far as the sample tells; sampled ones for each of them, and in all; points of a leaf.
+SHARD, SAMPLES, MOST_SAMPLES, LEAF = 1024, 8, 1 << 20, 8
+#: Shares of rows and of links from which a fingerprint or node counts as hot; tasks that a node's links are dealt to.
+HOT, SALTS = 4096, 16
+
+
+def _mask(*blocks: tuple[int, int]) -> int:
+    return sum(((1 << n) - 1) << at for at, n in blocks)
+
+
+PROJECTIONS = np.array([_mask(*two) for two in combinations(BLOCKS, 2)], np.uint64)
+WHOLE = np.uint64((1 << 64) - 1)
 
 
 # -- fingerprints -------------------------------------------------------------
@@ -71,220 +90,300 @@ def add_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp") ->
 
 
 # -- vantage-point trees ------------------------------------------------------
-def distance(a: np.ndarray, b: np.uint64) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+def distance(a: np.ndarray, b: np.ndarray | np.uint64, mask: np.ndarray | np.uint64 = WHOLE) -> np.ndarray:
+    return np.bitwise_count((a ^ b) & mask).astype(np.int64)
+
+
+def boundary(d: np.ndarray) -> int | None:
+    """The distance that comes nearest to halving ``d``: points up to it are inside; None if all are the same."""
+    values, counts = np.unique(d, return_counts=True)
+    if len(values) < 2:
+        return None
+    inside = np.cumsum(counts)[:-1]
+    return int(values[np.abs(2 * inside - len(d)).argmin()])
+
+
+@dataclass
+class ShardTree:
+    """Nodes of the trees of all projections as columns; ``left`` is 0 at a leaf. Node k < number of projections is a root."""
+
+    vantage: np.ndarray
+    mask: np.ndarray
+    mu: np.ndarray
+    reach: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    @classmethod
+    def grow(cls, sample: np.ndarray, most: int = SAMPLES, radius: int = RADIUS) -> ShardTree:
+        """Trees over ``sample``, split until a leaf has ``most`` of it, or a boundary's guests would undo the split."""
+        nodes: list[list] = [[0, 0, 0, 0, 0, 0] for _ in PROJECTIONS]
+        todo = [(k, sample) for k in range(len(PROJECTIONS))] if len(sample) else []
+        forest = list(range(len(PROJECTIONS)))
+        while todo:
+            k, own = todo.pop()
+            if len(own) <= most:
+                continue
+            v = own[len(own) // 2]
+            mask, reach = PROJECTIONS[forest[k]], 0
+            d = distance(own, v, mask)
+            mu = boundary(d)
+            if mu is None:  # alike in the projection: by whole fingerprints
+                mask, reach = WHOLE, radius
+                d = distance(own, v)
+                mu = boundary(d)
+                if mu is None or (d <= mu + reach).sum() > 0.9 * len(own):
+                    continue
+            left, right = len(nodes), len(nodes) + 1
+            nodes[k] = [int(v), int(mask), mu, reach, left, right]
+            nodes += [[0, 0, 0, 0, 0, 0] for _ in range(2)]
+            forest += [forest[k]] * 2
+            todo += [(left, own[d <= mu + reach]), (right, own[d > mu])]
+        columns = list(zip(*nodes, strict=True))
+        return cls(*[np.array(c, np.uint64) for c in columns[:2]], *[np.array(c, np.int64) for c in columns[2:]])
+
+    def seats(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the point, shard, projection) of every home and visit."""
+        n, k = len(points), len(PROJECTIONS)
+        at, node, forest = np.tile(np.arange(n), k), np.repeat(np.arange(k), n), np.repeat(np.arange(k), n)
+        done: list[tuple[np.ndarray, ...]] = []
+        while len(at):
+            leaf = self.left[node] == 0
+            if leaf.any():
+                done.append((at[leaf], node[leaf], forest[leaf]))
+                at, node, forest = at[~leaf], node[~leaf], forest[~leaf]
+            d = distance(points[at], self.vantage[node], self.mask[node])
+            inner, outer = d <= self.mu[node] + self.reach[node], d > self.mu[node]
+            node = np.concatenate([self.left[node[inner]], self.right[node[outer]]])
+            at, forest = np.concatenate([at[inner], at[outer]]), np.concatenate([forest[inner], forest[outer]])
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (none, none, none)  # type: ignore[return-value]
+
+
+class Classes:
+    """Classes of indexes that are merged as links come; keeps the links of a spanning forest."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins a[i] and b[i]; only one link for each two classes that meet is looked at."""
+        x, y = self.of[a], self.of[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return
+        x, y = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+        _, first = np.unique(x * len(self.of) + y, return_index=True)
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                root[i] = root.get(up, up)
+                i = up
+            return i
+
+        for i in first.tolist():
+            u, v = find(int(x[i])), find(int(y[i]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                self.links.append((int(a[apart[i]]), int(b[apart[i]])))
+        old = np.fromiter(root, np.int64, len(root))
+        new = np.arange(len(self.of))
+        new[old] = [find(i) for i in old.tolist()]
+        self.of = new[self.of]
 
 
 class VantageTree:
-    """Search tree over fingerprints that can be emptied as it is searched."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points = points
-        self.nodes: list[list] = []  # [vantage, mu, left, right, left up to, right from, own, alive]
-        self._grow(np.arange(len(points)), leaf)
-        self.left = np.ones(len(points), bool)
-
-    def _grow(self, own: np.ndarray, leaf: int) -> int:
-        k = len(self.nodes)
-        self.nodes.append([None] * 6 + [own, len(own)])
-        if len(own) > leaf:
-            v = self.points[own[0]]
-            d = distance(self.points[own], v)
-            mu = int(np.median(d))
-            inner = d <= mu
-            if inner.all():
-                inner = d < mu
-                mu -= 1
-            if inner.any() and not inner.all():
-                a, b = self._grow(own[inner], leaf), self._grow(own[~inner], leaf)
-                self.nodes[k][:7] = [v, mu, a, b, int(d[inner].max()), int(d[~inner].min()), None]
-        return k
-
-    def take(self, q: np.uint64, radius: int = RADIUS) -> np.ndarray:
-        """Points within ``radius`` of ``q`` that haven't been taken yet; they are taken now."""
-        found: list[np.ndarray] = []
-        self._take(0, q, radius, found)
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-    def _take(self, k: int, q: np.uint64, radius: int, found: list[np.ndarray]) -> int:
-        node = self.nodes[k]
-        if not node[7]:
-            return 0
-        if node[6] is not None:
-            own = node[6]
-            near = distance(self.points[own], q) <= radius
-            n = int(near.sum())
-            if n:
-                found.append(own[near])
-                node[6] = own[~near]
-        else:
-            d = int(np.bitwise_count(node[0] ^ q))
-            n = 0
-            if d - radius <= node[4]:
-                n += self._take(node[2], q, radius, found)
-            if d + radius >= node[5]:
-                n += self._take(node[3], q, radius, found)
-        node[7] -= n
-        return n
-
-
-def forest(points: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (index, root's index) that join the points within ``radius`` of each other, directly or in steps."""
-    tree, links = VantageTree(points), []
-    for i in range(len(points)):
-        if not tree.left[i]:
-            continue
-        todo = tree.take(points[i], radius).tolist()
-        tree.left[todo] = False
-        tree.left[i] = False
+    """Search tree over whole fingerprints, with counts of the nodes that searches visit and prune.
+
+    ``points`` are put in the order of the tree, so that a node's points are those from ``first`` to ``end``.
+    """
+
+    def __init__(self, points: np.ndarray, leaf: int = 4 * LEAF):
+        self.points = points.copy()
+        self.nodes: list[list] = []  # [first, end] or [first, end, vantage, left, right, left's largest distance, right's smallest]
+        self.visited = self.pruned = 0
+        todo: list[tuple[int, int, tuple[int, int] | None]] = [(0, len(points), None)]
         while todo:
-            j = todo.pop()
-            if j != i:
-                links.append((j, i))
-                more = tree.take(points[j], radius)
-                tree.left[more] = False
-                todo += more.tolist()
-    return links
+            first, end, up = todo.pop()
+            k, own, mu = len(self.nodes), self.points[first:end], None
+            if up is not None:
+                self.nodes[up[0]][up[1]] = k
+            if end - first > leaf:
+                v = own[len(own) // 2]
+                d = distance(own, v)
+                mu = boundary(d)
+            if mu is None:
+                self.nodes.append([first, end])
+                continue
+            inner = d <= mu
+            middle = first + int(inner.sum())
+            self.points[first:end] = np.concatenate([own[inner], own[~inner]])
+            self.nodes.append([first, end, v, 0, 0, int(d[inner].max()), int(d[~inner].min())])
+            todo += [(middle, end, (k, 4)), (first, middle, (k, 3))]
 
+    def leaves(self) -> Iterator[np.ndarray]:
+        return (np.arange(n[0], n[1]) for n in self.nodes if len(n) == 2)
 
-def small_links(points: np.ndarray, group: np.ndarray, size: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """All links inside sorted groups of at most ``size`` points."""
-    a, b = [], []
-    for k in range(1, size):
-        same = np.flatnonzero(group[k:] == group[:-k])
-        if not len(same):
+    def near(self, queries: np.ndarray, others: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, point), as indexes of points, at ``radius`` or less; a part is no larger than queries times a leaf.
+
+        ``others``: how many of the first k points are worth finding; nodes without any are pruned too.
+        """
+        todo = [(0, queries)]
+        while todo:
+            k, q = todo.pop()
+            node = self.nodes[k]
+            if others[node[0]] == others[node[1]]:
+                self.pruned += len(q)
+                continue
+            self.visited += len(q)
+            if len(node) == 2:
+                i, j = np.nonzero(distance(self.points[q][:, None], self.points[node[0] : node[1]][None, :]) <= radius)
+                if len(i):
+                    yield q[i], node[0] + j
+                continue
+            d = distance(self.points[q], node[2])
+            for child, alive in ((node[3], d - radius <= node[5]), (node[4], d + radius >= node[6])):
+                self.pruned += int((~alive).sum())
+                if alive.any():
+                    todo.append((child, q[alive]))
+
+
+def forest(points: np.ndarray, radius: int = RADIUS, tally: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the points within ``radius`` of each other, directly or in steps.
+
+    Each leaf of the tree is searched for at once. While its points are of one class, points of that class are
+    not looked for again, so a dense group costs little more than a scan for each leaf.
+    """
+    tree = VantageTree(points)
+    classes = Classes(len(points))
+    for own in tree.leaves():
+        mine = classes.of[own]
+        worth = classes.of != mine[0] if (mine == mine[0]).all() else np.ones(len(points), bool)
+        for a, b in tree.near(own, np.append(0, np.cumsum(worth)), radius):
+            classes.merge(a, b)
+    if tally is not None:
+        tally["visited"] = tally.get("visited", 0) + tree.visited
+        tally["pruned"] = tally.get("pruned", 0) + tree.pruned
+    links = np.array(classes.links, np.int64).reshape(-1, 2)
+    return tree.points[links[:, 0]], tree.points[links[:, 1]]
+
+
+def shard_links(points: np.ndarray, shard: np.ndarray, projection: np.ndarray, radius: int = RADIUS, tally: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of spanning forests of every shard. ``tally`` gets counts of nodes visited and pruned.
+
+    The trees of all shards grow by one level at a time: each group's vantage point is its middle one, its
+    boundary the distance in the projection that halves it best. As linked points have distance 0 in
+    one of the projections, a point looks for its links in the group on its side only.
+    """
+    order = np.lexsort((points, shard))
+    p, g, m = points[order], shard[order], PROJECTIONS[projection[order]]
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    seen = {"visited": 0, "pruned": 0}
+    while len(p):
+        start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(start, len(p)))
+        small = size <= LEAF
+        few = np.repeat(small, size)
+        if few.any():
+            a, b = _leaf_links(p[few], g[few], radius)
+            left.append(a)
+            right.append(b)
+            p, g, m = p[~few], g[~few], m[~few]
+            start, size = np.cumsum(np.append(0, size[~small]))[:-1], size[~small]
+        if not len(p):
             break
-        near = same[np.bitwise_count(points[same] ^ points[same + k]) <= radius]
-        a.append(near)
-        b.append(near + k)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
-SMALL = 64
-
-
-def shard_links(points: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of every shard; ``group``: the shard of each point."""
-    order = np.argsort(group, kind="stable")
-    points, group = points[order], group[order]
-    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(group)))
-    few = np.repeat(size <= SMALL, size)
-    p, g = points[few], group[few]
-    a, b = small_links(p, g, min(SMALL, int(size.max(initial=0))), radius)
-    left, right = [p[a]], [p[b]]
-    for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        own = np.unique(points[s : s + n])
-        links = np.array(forest(own, radius), np.int64).reshape(-1, 2)
-        left.append(own[links[:, 0]])
-        right.append(own[links[:, 1]])
-    return np.concatenate(left), np.concatenate(right)
-
-
-# -- shards -------------------------------------------------------------------
-def split_tree(sample: np.ndarray, share: float, radius: int = RADIUS, depth: int = 12) -> list:
-    """Nodes [vantage, mu, left, right] or [None] (a leaf) for a shard of which ``sample`` is a ``1 / share`` part."""
-    nodes: list = []
-
-    def grow(own: np.ndarray, depth: int) -> int:
-        k = len(nodes)
-        nodes.append([None])
-        if len(own) * share > SHARD and depth and len(own) >= 16:
-            best = None
-            for v in own[:: max(1, len(own) // 8)]:  # the vantage point whose boundary the fewest overlap
-                d = distance(own, v)
-                for mu in np.unique(d)[:-1].tolist():
-                    a, b = int((d <= mu + radius).sum()), int((d > mu).sum())
-                    if b and (best is None or max(a, b) < best[0]):
-                        best = (max(a, b), v, mu, d)
-            if best and best[0] <= 0.85 * len(own):
-                _, v, mu, d = best
-                left = grow(own[d <= mu + radius], depth - 1)
-                nodes[k] = [int(v), mu, left, grow(own[d > mu], depth - 1)]
-        return k
-
-    grow(sample, depth)
-    return nodes
-
-
-def seats(points: np.ndarray, nodes: list, radius: int = RADIUS) -> list[tuple[int, np.ndarray]]:
-    """(leaf, indexes of its points and guests): outer points near a boundary visit the inner side."""
-    out, todo = [], [(0, np.arange(len(points)))]
-    while todo:
-        k, own = todo.pop()
-        node = nodes[k]
-        if node[0] is None or not len(own):
-            out.append((k, own))
-            continue
-        d = distance(points[own], np.uint64(node[0]))
-        todo += [(node[2], own[d <= node[1] + radius]), (node[3], own[d > node[1]])]
-    return out
+        d = distance(p, np.repeat(p[start + size // 2], size), m)
+        group = np.repeat(np.arange(len(start)), size)
+        order = np.lexsort((d, group))
+        p, g, m, d = p[order], g[order], m[order], d[order]
+        # the step between two distances that is nearest to the middle of the group
+        step = np.flatnonzero((d[1:] != d[:-1]) & (group[1:] == group[:-1]))
+        off = np.abs(2 * (step + 1 - start[group[step]]) - size[group[step]])
+        best = np.lexsort((off, group[step]))
+        best = best[np.append(True, np.diff(group[step][best]) > 0)] if len(best) else best
+        split = np.full(len(start), -1)
+        split[group[step[best]]] = step[best] + 1
+        alike = np.repeat(split < 0, size)
+        seen["visited"] += len(p)
+        seen["pruned"] += int((~alike).sum())
+        if alike.any():  # nothing left to tell apart in the projection
+            for s, n in zip(start[split < 0].tolist(), size[split < 0].tolist(), strict=True):
+                a, b = forest(np.unique(p[s : s + n]), radius, seen)
+                left.append(a)
+                right.append(b)
+        side = (np.arange(len(p)) >= np.repeat(split, size)).astype(np.int64)
+        g = (2 * group + side)[~alike]
+        p, m = p[~alike], m[~alike]
+    if tally is not None:
+        tally.update(seen)
+    none = np.zeros(0, np.uint64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _leaf_links(p: np.ndarray, g: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within leaves of at most ``LEAF`` points, which lie together in ``g``."""
+    a, b = [], []
+    for k in range(1, LEAF):
+        i = np.flatnonzero((g[k:] == g[:-k]) & (distance(p[k:], p[:-k]) <= radius))
+        a.append(i)
+        b.append(i + k)
+    i, j = np.concatenate(a), np.concatenate(b)
+    return p[i], p[j]
 
 
-def block_keys(points: np.ndarray) -> list[np.ndarray]:
-    return [
-        ((points >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) + (j << 13) for j, (at, n) in enumerate(BLOCKS)
-    ]
+def grow_trees(fps: DataFrame) -> ShardTree:
+    """The shards' trees, from a sample of the distinct bigints ``fp``; it is chosen by hash, so reruns agree."""
+    n = fps.count()
+    part = min(SAMPLES / SHARD, MOST_SAMPLES / max(1, n))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("vantage"), "fp"), 11) / F.lit(float(1 << 53))
+    picked = [r["fp"] for r in fps.select("fp").where(unit < part).collect()]
+    return ShardTree.grow(np.sort(np.array(picked, np.int64)).view(np.uint64))
 
 
 def link(fps: DataFrame) -> DataFrame:
     """(hi, lo): links of spanning forests over the distinct bigints ``fp`` of ``fps``."""
-    spark = fps.sparkSession
+    shared = fps.sparkSession.sparkContext.broadcast(grow_trees(fps))  # about 40 bytes a node, 4 million nodes at most
 
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            for keys in block_keys(fp.view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp)], names=["shard", "fp"])
-
-    at_home = fps.select("fp").mapInArrow(homes, "shard long, fp long")
-    large = {r["shard"]: r["n"] for r in at_home.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).collect()}  # 36,864 shards at most
-    if large:
-        part = spark.createDataFrame([(s, SAMPLE / n) for s, n in large.items()], "shard long, part double")
-        unit = F.shiftrightunsigned(F.xxhash64("shard", "fp"), 11) / F.lit(float(1 << 53))
-        picked: dict[int, list[int]] = {}
-        for r in at_home.join(F.broadcast(part), "shard").where(unit < F.col("part")).select("shard", "fp").collect():
-            picked.setdefault(r["shard"], []).append(r["fp"])
-        trees = {s: split_tree(np.sort(np.array(x, np.int64)).view(np.uint64), large[s] / len(x)) for s, x in picked.items()}
-        trees = {s: t for s, t in trees.items() if len(t) > 1}
-        shared = spark.sparkContext.broadcast(trees)
-
-        def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                shard, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                split = np.isin(shard, np.fromiter(shared.value, np.int64, len(shared.value)))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[~split]), pa.array(fp[~split])], names=["shard", "fp"])
-                for s in np.unique(shard[split]).tolist():
-                    own = fp[shard == s]
-                    for leaf, at in seats(own.view(np.uint64), shared.value[s]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s + ((leaf + 1) << 16))), pa.array(own[at])], names=["shard", "fp"])
-
-        if trees:
-            at_home = at_home.mapInArrow(seat, "shard long, fp long")
+            for i in range(0, len(fp), 4096):
+                own = fp[i : i + 4096]
+                at, shard, projection = shared.value.seats(own.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(shard * len(PROJECTIONS) + projection), pa.array(own[at])], names=["shard", "fp"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if held:  # 16 bytes a row of one shuffle partition
-            a, b = shard_links(np.concatenate([x[1] for x in held]).view(np.uint64), np.concatenate([x[0] for x in held]))
+            shard = np.concatenate([x[0] for x in held])
+            a, b = shard_links(np.concatenate([x[1] for x in held]).view(np.uint64), shard, shard % len(PROJECTIONS))
             a, b = a.view(np.int64), b.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["hi", "lo"])
 
-    return at_home.repartition("shard").mapInArrow(links, "hi long, lo long").distinct()
+    return fps.select("fp").mapInArrow(seat, "shard long, fp long").repartition("shard").mapInArrow(links, "hi long, lo long").distinct()
 
 
 # -- components ---------------------------------------------------------------
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of ``edges`` (hi > lo): the smallest node of its component.
 
-    Alternating stars; each step aggregates minima (combined before the shuffle)
-    and joins them back, so a node with very many links is no single task's.
+    Alternating stars; each step aggregates minima, which are combined before the shuffle, and joins
+    them back by node and salt, so that the links of a hub are dealt to ``SALTS`` tasks.
     """
 
     def mark(e: DataFrame) -> tuple[int, int]:
         r = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
         return r["n"], r["x"]
 
+    def joined(links: DataFrame, key: str, other: str, least: DataFrame) -> DataFrame:
+        salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return links.withColumn("salt", salt).join(salted, [key, "salt"])
+
     edges = cut(edges.select("hi", "lo").distinct())
     before = mark(edges)
     for _ in range(rounds):
@@ -292,9 +391,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             break
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi > lo").distinct()
+        large = joined(both.where("v > u"), "u", "v", least).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi > lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
+        small = joined(large, "hi", "lo", least)
         edges = cut(small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi > lo").union(least.select("hi", F.col("m").alias("lo"))).distinct())
         now = mark(edges)
         if now == before:
@@ -307,15 +406,23 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (bigint), component_id of every row."""
+    """doc_id, fp (bigint), component_id of every row.
+
+    Fingerprints with more than ``1 / HOT`` of the rows, fewer than ``HOT`` of them, find their
+    class by a broadcast table, so that their rows don't meet in one task.
+    """
     marked = cut(add_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "fp"))
-    groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(link(groups))
     known = cut(groups.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "first", "root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = known.join(least, "root").select("fp", "component_id")
-    of_fp = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = cut(groups.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+    many = (groups.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot, rest = of_fp.where(F.col("n") > many).drop("n"), of_fp.where(F.col("n") <= many).drop("n")
+    first = marked.join(F.broadcast(hot.withColumnRenamed("fp", "hot_fp")), F.col("fp") == F.col("hot_fp"), "left")
+    found = first.where("hot_fp IS NOT NULL").select("doc_id", "fp", "component_id")
+    return found.union(first.where("hot_fp IS NULL").select("doc_id", "fp").join(rest, "fp").select("doc_id", "fp", "component_id"))
 
 
 def first_rows(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

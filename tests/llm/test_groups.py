@@ -79,37 +79,70 @@ def clustered(seed, n=1500):
     return sorted(points)[:n]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_join_whole_classes(spark, seed, monkeypatch):
-    # shards so small that the sampled vantage-point trees split them
-    monkeypatch.setattr(simhash, "SHARD", 40)
-    points = clustered(seed)
-    signed = [(p - (1 << 64) if p >> 63 else p,) for p in points]
-    roots = simhash.components(simhash.link(spark.createDataFrame(signed, "fp long"))).collect()
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+@pytest.mark.parametrize("seed,shard", [(1, simhash.SHARD), (2, simhash.SHARD), (3, 16)])
+def test_links_join_whole_classes(spark, seed, shard, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    points = clustered(seed, 3000)
+    roots = simhash.components(simhash.link(spark.createDataFrame([(signed(p),) for p in points], "fp long"))).collect()
     have = {r["node"]: r["root"] for r in roots}
-    want = classes(points)
     groups = defaultdict(set)
-    for (s,), w in zip(signed, want, strict=True):
-        groups[w].add(have.get(s, s))
+    for p, w in zip(points, classes(points), strict=True):
+        groups[w].add(have.get(signed(p), signed(p)))
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
-def test_local_tree_finds_the_classes_of_a_large_shard():
-    points = np.array(clustered(9, 3000), np.uint64)
-    root = list(range(len(points)))
+def joined(points, links):
+    index, root = {p: i for i, p in enumerate(points)}, list(range(len(points)))
 
     def find(i):
         while root[i] != i:
+            root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for a, b in simhash.forest(points):
-        root[find(a)] = find(b)
-    want = classes(points.tolist())
-    assert len({find(i) for i in range(len(points))}) == len(set(want))
-    pair = {}
-    for i, w in enumerate(want):
-        assert pair.setdefault(w, find(i)) == find(i)
+    for a, b in zip(*[x.tolist() for x in links], strict=True):
+        assert (a ^ b).bit_count() <= simhash.RADIUS
+        root[find(index[a])] = find(index[b])
+    return [find(i) for i in range(len(points))]
+
+
+def same_classes(a, b):
+    return len(set(a)) == len(set(b)) == len(set(zip(a, b, strict=True)))
+
+
+def test_local_tree_finds_the_classes_of_a_large_shard():
+    points = clustered(9, 3000)
+    links = simhash.forest(np.array(points, np.uint64))
+    assert same_classes(joined(points, links), classes(points)) and len(links[0]) == len(points) - len(set(classes(points)))
+
+
+@pytest.mark.parametrize("most", [2, 8, 1000])
+def test_trees_of_any_depth_lose_no_link(most):
+    # near copies that agree in whole projections, so that the shards' trees go on by whole fingerprints, with guests
+    rng = random.Random(most)
+    base = rng.getrandbits(64)
+    dense = sorted({base ^ sum(1 << b for b in rng.sample(range(20), rng.randrange(12))) for _ in range(1500)})
+    points = sorted({*clustered(7, 1500), *dense})
+    array = np.array(points, np.uint64)
+    tree = simhash.ShardTree.grow(array[::2], most)
+    at, shard, projection = tree.seats(array)
+    assert set(zip(at.tolist(), projection.tolist(), strict=True)) == {(i, k) for i in range(len(points)) for k in range(15)}
+    tally = {}
+    links = simhash.shard_links(array[at], shard, projection, tally=tally)
+    assert same_classes(joined(points, links), classes(points))
+    assert tally["pruned"] > 0 and (most > 2 or len(at) > 15 * len(points))
+
+
+def test_dense_groups_send_no_pairs():
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    points = np.array(sorted({base ^ sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(6000)}), np.uint64)
+    links = simhash.forest(points)
+    assert len(links[0]) == len(points) - 1
 
 
 def test_components_of_chains_and_stars(spark):
