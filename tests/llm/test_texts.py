@@ -28,22 +28,22 @@ TURNS = [
     (4, 1, "user", "hi"), (4, 2, "assistant", "other"),
     (5, 1, None, "hi"), (5, 2, "assistant", None), (6, 1, "", "hi"), (6, 2, "assistant", ""),
     (7, None, "system", "s"), (7, 1, "user", "q"), (8, 1, "user", "q"), (8, 1, "user", "q"),
-    (None, 1, "user", "nobody"), (9, 2, "user", "hi"), (10, 1, "user", "hi"), (11, 1, "user", ""), (12, 1, "user", "x" * 100_000),
+    (None, 1, "user", "nobody"), (None, 2, "user", "nobody"), (None, 1, "user", "hi"), (None, 1, "user", "x" * 100_000), (None, 5, None, None), (None, None, "user", "y" * 200_000), (9, 2, "user", "hi"), (10, 1, "user", "hi"), (11, 1, "user", ""), (12, 1, "user", "x" * 100_000),
 ]
 
 
 def maximal_chats(turns):
     low = lambda x: (x is not None, x)
     by = {}
-    for c, t, r, x in turns:
-        by.setdefault(c, []).append((low(t), low(r), low(x), r, x))
+    for i, (c, t, r, x) in enumerate(turns):
+        by.setdefault((i,) if c is None else c, []).append((low(t), low(r), low(x), r, x))
     own = {c: tuple(x[3:] for x in sorted(v, key=lambda x: (x[0][0], x[0][1] or 0, x[1][0], x[1][1] or "", x[2][0], x[2][1] or ""))) for c, v in by.items()}
     longer = {own[c][:k] for c in own for k in range(1, len(own[c]))}
     first = {}
-    for c in sorted(own, key=lambda c: (c is not None, c or 0)):
+    for c in sorted(own, key=lambda c: (isinstance(c, tuple), c if isinstance(c, int) else 0)):
         first.setdefault(own[c], []).append(c)
     return sorted(
-        ((cs[0], len(t), len(cs), "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for r, x in t)) for t, cs in first.items() if t not in longer),
+        ((None if isinstance(cs[0], tuple) else cs[0], len(t), len(cs), "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for r, x in t)) for t, cs in first.items() if t not in longer),
         key=repr,
     )
 
@@ -55,6 +55,22 @@ def test_only_maximal_conversations_stay(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_many_turns_without_an_id_are_spread(spark):
+    turns = spark.range(20_000).selectExpr("IF(id % 3 = 0, id, NULL) AS conv_id", "1L AS turn", "'user' AS role", "CONCAT('m', id % 9000) AS text")
+    got = chat.format_chats(turns)
+    assert got.agg({"n_copies": "sum"}).first()[0] == 20_000 and got.count() == 9000
+    alone = spark.createDataFrame([(None, t, "user", f"m{t}") for t in range(3000)], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(alone).where("conv_id IS NULL AND n_turns = 1 AND n_copies = 1").count() == 3000
+
+
+def test_chat_sql(spark, tmp_path):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    turns.toPandas().to_parquet(tmp_path / "c.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM read_parquet('{tmp_path}/c.parquet')")
+    assert sorted(con.execute(chat.SQL).fetchall(), key=repr) == maximal_chats(TURNS)
+
+
 def test_many_snapshots(spark):
     rng = random.Random(5)
     turns = []
