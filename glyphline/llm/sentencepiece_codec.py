@@ -15,7 +15,12 @@ a bounded table.
 Only models like those of the public 32k vocabulary are taken: BPE, identity
 normalisation, no user-defined pieces, extra white space kept, byte fallback.
 
-Null text counts as empty: no ids, decoded to the empty text.
+Decoding joins the bytes of all pieces of a text, looked up by id in one flat table; only where they
+aren't valid UTF-8 as a whole, runs of byte pieces are decoded one by one.
+
+Null text counts as empty: no ids, decoded to the empty text. Null or equal ids and repeated rows come out
+each. A very long text is encoded and decoded whole. An empty table gives no rows. Columns named like an output are
+replaced by it, others stay (encode_documents, decode_documents) or aren't read (codec_report).
 """
 
 from __future__ import annotations
@@ -85,9 +90,16 @@ class PieceCodec:
         mixed = any(bool(letter.match(a)) != bool(letter.match(b)) for p in normal for a, b in zip(p.lstrip(SPACE), p.lstrip(SPACE)[1:], strict=False))
         # without pieces that mix letters with others, words are cut between these too
         self.words = re.compile((r" *[^ \n]+|\n| +" if mixed else r" *[^\W\d_]+| *(?:[^ \n\w]|[\d_])+|\n| +| *[^ \n]") if safe else r"(?s).+")
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, tuple[str, list[int]]] = {}
         self.id_text = [str(i) for i in range(self.n_pieces)]
-        self.plain = [p.replace(SPACE, " ") for p in self.piece]
+        self.raw = [p.replace(SPACE, " ").encode() for p in self.piece]
+        for i in range(self.n_pieces):
+            if i in self.id_byte:
+                self.raw[i] = bytes([self.id_byte[i]])
+            elif i in self.unknown:
+                self.raw[i] = " ⁇ ".encode()
+            elif i in self.silent:
+                self.raw[i] = b""
 
     # -- encoding -------------------------------------------------------------
     def merge(self, words: list[str]) -> list[np.ndarray]:
@@ -160,22 +172,17 @@ class PieceCodec:
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        id_text, plain, n_pieces = self.id_text, self.plain, self.n_pieces
+        id_text = self.id_text
         for w, s in zip(words, self.merge(words), strict=True):
-            ids = s.tolist()
-            if max(ids) < n_pieces:  # merges make normal pieces only, so no byte pieces here
-                surface = "".join([plain[i] for i in ids])
-                self.known[w] = (",".join([id_text[i] for i in ids]), len(ids), w if w == surface else surface)
-            else:
-                ids = self.ids(s)
-                self.known[w] = (",".join(map(str, ids)), len(ids), self._surface(ids))
+            ids = self.ids(s)
+            self.known[w] = (",".join([id_text[i] for i in ids]), ids)
 
     def _split(self, text: str) -> list[str]:
         text = text.replace(SPACE, " ")
         return self.words.findall(" " + text if self.prefix else text) if text else []
 
-    def digest(self, texts: list[str | None]) -> list[list[tuple[str, int, str]]]:
-        """Per text its words' (ids as text, number of ids, decoded surface)."""
+    def words_of(self, texts: list[str | None]) -> list[list[tuple[str, list[int]]]]:
+        """Per text its words' (ids as text, ids)."""
         split = [self._split(t or "") for t in texts]
         new = {w for ws in split for w in ws if w not in self.known}
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -187,7 +194,7 @@ class PieceCodec:
         return [[known[w] for w in ws] for ws in split]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[int(i) for w in words for i in w[0].split(",")] for words in self.digest(texts)]
+        return [[i for w in words for i in w[1]] for words in self.words_of(texts)]
 
     # -- decoding -------------------------------------------------------------
     def _surface(self, ids: list[int]) -> str:
@@ -208,13 +215,13 @@ class PieceCodec:
             parts.append(_utf8(bytes(run)))
         return "".join(parts)
 
-    def strip(self, surface: str) -> str:
-        return surface[1:] if self.prefix and surface.startswith(" ") else surface
-
     def decode(self, ids: list[int]) -> str:
         """The first piece loses its leading space mark (the dummy prefix), a leading byte piece doesn't."""
-        surface = self._surface(ids)
-        return surface if ids and ids[0] in self.id_byte else self.strip(surface)
+        try:
+            surface = b"".join(map(self.raw.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            surface = self._surface(ids)
+        return surface[1:] if self.prefix and surface.startswith(" ") and ids[0] not in self.id_byte else surface
 
 
 def _utf8(raw: bytes) -> str:
@@ -270,12 +277,13 @@ def codec_report(docs: DataFrame, path: str | None = None) -> DataFrame:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
         def run(texts):
-            words = c.digest(texts)
-            return {
-                "n_tokens": [sum([w[1] for w in ws]) for ws in words],
-                "ids_sha256": [sha(",".join([w[0] for w in ws])) for ws in words],
-                "decoded_sha256": [sha(c.strip("".join([w[2] for w in ws]))) for ws in words],
-            }
+            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            for words in c.words_of(texts):
+                ids = [i for w in words for i in w[1]]
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(sha(",".join([w[0] for w in words])))
+                out["decoded_sha256"].append(sha(c.decode(ids)))
+            return out
 
         return run
 
