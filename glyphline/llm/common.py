@@ -22,14 +22,16 @@ BATCH_ROWS = 2_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a fresh local folder is
-    made and set as the checkpoint folder.
+    Only where a local session names none (tests, a laptop) a fresh local folder is
+    made and set as the checkpoint folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphline-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
@@ -40,6 +42,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``fresh_dir`` by the file system that its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: lineage ends there and a
     lost executor costs no recomputation. Spark removes the files once the

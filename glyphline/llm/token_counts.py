@@ -8,8 +8,9 @@ a doubly linked list; the count is the number of initial symbols minus the
 number of merges. No id is ever built. Counts of pieces are cached in a bounded
 table, since natural text repeats its words.
 
-Null text counts as empty (0 tokens). Empty tables give empty results; repeated
-rows are counted each.
+Null text counts as empty (0 tokens), a null id stays null. Empty tables give empty results; repeated
+rows and equal ids are counted each. A very long text is split and counted whole; pieces over 48 characters
+are not kept in the table. Columns of other names stay, one named like the count is replaced by it.
 """
 
 from __future__ import annotations
@@ -17,20 +18,40 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from functools import lru_cache
+import unicodedata
+from functools import cached_property, lru_cache
 
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphline.llm.common import map_texts, text_or_empty
 
-#: The split of byte-level BPE.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Blocks whose classes have been the same in all Unicode versions since 5.2;
 #: a text outside them is split by the library itself.
-SETTLED = re.compile(r"[^\t-\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥！-～]")
+BLOCKS = "\t-\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥！-～"
+SETTLED = re.compile(f"[^{BLOCKS}]")
+
+
+def _class(kind: str) -> str:
+    """Ranges of the settled characters of a general category, for use in a regex class."""
+    out: list[list[int]] = []
+    for c in range(0x10000):
+        if unicodedata.category(chr(c))[0] == kind and not SETTLED.match(chr(c)):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def split_pattern() -> re.Pattern:
+    """The split of byte-level BPE, for settled texts."""
+    letter, number = _class("L"), _class("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+")
+
+
 CACHE_ENTRIES = 250_000
 
 
@@ -49,25 +70,52 @@ def tokenizer_path(path: str | None, name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class PieceSplitter:
+    """Cuts texts at special tokens, then into the pieces that are merged on their own, as the library does."""
+
+    def __init__(self, path: str):
+        self.spec = spec = json.load(open(path, encoding="utf-8"))
+        pre = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or spec.get("normalizer") or pre.get("add_prefix_space"):
+            raise ValueError(f"{path}: only plain byte-level BPE is supported")
+        added = spec.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path}: an added token takes in its surroundings")
+        self.special = {t["content"]: t["id"] for t in added}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.pattern = split_pattern()
+        self.path = path
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def parts(self, text: str) -> list[str]:
+        """The texts between special tokens, which are the parts of odd number."""
+        return self.cut.split(text) if self.cut and self.cut.search(text) else [text]
+
+    def pieces(self, text: str) -> list[str]:
+        if not SETTLED.search(text):
+            return self.pattern.findall(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+
 class PairMerger(dict):
     """Token count of a piece (str), filled on demand."""
 
     def __init__(self, path: str):
         super().__init__()
-        spec = json.load(open(path, encoding="utf-8"))
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or spec.get("normalizer") or pre.get("add_prefix_space"):
-            raise ValueError(f"{path}: only plain byte-level BPE is supported")
+        self.splitter = PieceSplitter(path)
+        model = self.splitter.spec["model"]
         vocab = model["vocab"]
         self.symbol = [vocab[c] for c in byte_symbols()]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.path = path
-        self.library = None
 
     def __missing__(self, piece: str) -> int:
         n = self.merged(piece.encode("utf-8", "surrogatepass"))
@@ -105,23 +153,9 @@ class PairMerger(dict):
                 heapq.heappush(heap, (m[0], h, m[1]))
         return left
 
-    def pieces(self, text: str) -> list[str]:
-        if not SETTLED.search(text):
-            return SPLIT.findall(text)
-        if self.library is None:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(self.path)
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
-
     def count(self, text: str) -> int:
-        extra = 0
-        if self.special and self.special.search(text):
-            parts = self.special.split(text)
-            extra = len(parts) - 1
-        else:
-            parts = [text]
-        return extra + sum(sum(map(self.__getitem__, self.pieces(p))) for p in parts if p)
+        parts = self.splitter.parts(text)
+        return len(parts) // 2 + sum(sum(map(self.__getitem__, self.splitter.pieces(p))) for p in parts[::2] if p)
 
 
 @lru_cache(maxsize=4)

@@ -14,9 +14,13 @@ lengths]]``. ``documents`` are the ids, null flags and token counts of the docum
 
 One file holds one range of ascending doc_id (null ids first, ties by the hash of
 the text, then the text), so the files in the order of their names are the corpus
-in order. A task writes its file under a name of its own attempt and renames it
-when complete; a repeated task replaces it by the same bytes. Only the manifest
-(one row a file) reaches the driver.
+in order. A task writes its file under a name of its own attempt; the manifest (one row a file,
+all that reaches the driver) names the attempt that ended, so nothing is renamed or written over
+when a task is repeated.
+
+A null text counts as empty: the end id alone. Equal ids and repeated rows are written each. A very long text
+is encoded whole and cut into blocks. Only the id and text columns are read, whatever others are called. An empty
+table makes a manifest without files and no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphline.llm.common import fresh_dir, shuffle_partitions
-from glyphline.llm.token_counts import SETTLED, byte_symbols, tokenizer_path
+from glyphline.llm.common import cut as checkpointed
+from glyphline.llm.common import fresh_dir, remove_dir, shuffle_partitions
+from glyphline.llm.token_counts import PieceSplitter, tokenizer_path
 
 MAGIC, BLOCK, LEVEL = b"GPZ1", 1 << 16, 3
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces whose ids a worker keeps; texts that are encoded at once.
+CACHE_PIECES, SLICE = 200_000, 64
 
 
 # -- planes -------------------------------------------------------------------
@@ -174,36 +181,41 @@ class PlaneReader:
 
 # -- encoding -----------------------------------------------------------------
 class Encoder:
-    """Ids of the tokenizers library for one JSON file.
+    """Ids by the tokenizers library for one JSON file.
 
-    Where a text holds only settled characters and the vocabulary is plain
-    byte-level BPE whose ids follow its merges, the same merges run through
-    tiktoken, which gives the same ids about six times as fast; any other text
-    or vocabulary goes through the library.
+    With a plain byte-level vocabulary a text is cut into the pieces that the library
+    merges on their own, and the library encodes each distinct piece once: its ids
+    are kept as bytes in a bounded table. Any other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.fast = None
-        spec = json.load(open(path, encoding="utf-8"))
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        if model["type"] == "BPE" and pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec.get("normalizer"):
-            byte = {c: b for b, c in enumerate(byte_symbols())}
-            special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-            made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-            order = [model["vocab"][m] for m in made]
-            if order == sorted(order) and len(ranks) == len(order) + 256 and (not order or order[0] >= 256):
-                import tiktoken
-
-                self.fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-    def encode(self, text: str) -> list[int]:
-        if self.fast is not None and not SETTLED.search(text):
-            return self.fast.encode(text, allowed_special="all")
-        return self.library.encode(text, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        try:
+            self.splitter = PieceSplitter(path)
+        except ValueError:
+            self.splitter = None
+        else:
+            self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.splitter.special.items()}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.splitter is None:
+            return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        split = self.splitter
+        cut = [[split.pieces(p) if k % 2 == 0 else p for k, p in enumerate(split.parts(t))] for t in texts]
+        known = self.known
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        new = list({w for parts in cut for words in parts[::2] for w in words if w not in known})
+        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        out = []
+        for parts in cut:
+            ids = b"".join(self.special[p] if k % 2 else b"".join(map(known.__getitem__, p)) for k, p in enumerate(parts))
+            out.append(np.frombuffer(ids, "<u4"))
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -245,17 +257,16 @@ def write_plane_files(
                 enc = encoder(tokenizer_path(path, "byte_bpe_50k.json"))
                 store, at = _fs(folder)
                 store.create_dir(at, recursive=True)
-                name = f"ids-{part:06d}.gpz"
-                temp = f"{at}/.{name}.{TaskContext.get().taskAttemptId()}"
-                sink = store.open_output_stream(temp)
+                name = f"ids-{part:06d}-{TaskContext.get().taskAttemptId()}.gpz"
+                sink = store.open_output_stream(f"{at}/{name}")
                 writer = PlaneWriter(sink, planes, block)
-            ids, texts = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                writer.add(ids[i].as_py(), np.array([*enc.encode(texts[i].as_py() or ""), end_id], "<u4"))
+            for i in range(0, batch.num_rows, SLICE):
+                ids, texts = (batch.column(k).slice(i, SLICE).to_pylist() for k in (0, 1))
+                for doc_id, own in zip(ids, enc.encode([t or "" for t in texts]), strict=True):
+                    writer.add(doc_id, np.append(own, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             sink.close()
-            store.move(temp, f"{at}/{name}")
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
 
     rows = sorted(dealt.mapInArrow(write, "part long, name string, n_docs long, n_ids long").collect())
@@ -300,7 +311,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(docs: DataFrame, end_id: int = 2, path: str | None = None, folder: str | None = None) -> DataFrame:
-    """Writes the files of ``docs`` into the shared folder and reads them back."""
+    """Writes the files of ``docs`` and reads them back; without a ``folder`` they lie in the shared one and are removed then."""
     spark = docs.sparkSession
-    folder = folder or fresh_dir(spark, "token-ids")
-    return read_plane_files(spark, folder, write_plane_files(docs, folder, end_id=end_id, path=path))
+    own = folder or fresh_dir(spark, "token-ids")
+    back = read_plane_files(spark, own, write_plane_files(docs, own, end_id=end_id, path=path))
+    if folder is None:
+        back = checkpointed(back)
+        remove_dir(spark, own)
+    return back
