@@ -275,7 +275,29 @@ def test_order_of_rules_never_changes_the_verdict(spark):
     a = measured.withColumn("k", quality.cascade(names))
     b = measured.withColumn("k", quality.cascade(names[::-1]))
     assert rowset(a, "doc_id", "n_words", "k") == rowset(b, "doc_id", "n_words", "k")
-    assert sorted(quality.plan_order(measured)) == sorted(names)
+    found = quality.survey(measured)
+    assert sorted(r.name for r in found) == sorted(names) and all(r.seconds > 0 and 0 <= r.rejected <= 1 for r in found)
+    assert [r.name for r in quality.survey(measured.limit(0))] == names
+
+
+def test_every_rule_rejects_something_and_clean_texts_stay(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    body = lambda n, end: " ".join(word() + end(k) for k in range(n))
+    stop = lambda k: "." if k % 8 == 7 else ""
+    few = [word() + "." for _ in range(60)]
+    made = {
+        "symbols": body(60, lambda k: "%%%."), "menus": " | ".join(word() + "." for _ in range(60)), "few_letters": body(60, lambda k: "1234567890."),
+        "repeated_lines": "\n".join([body(3, stop) + ".", "ab."][k % 2] for k in range(40)) + "\nab." * 20, "unpunctuated": body(60, lambda k: ""),
+        "monotone": " ".join(few[(k * k + k // 7) % 17] for k in range(100)), "shouting": body(60, stop).upper(), "clean": body(200, stop),
+    }
+    docs = spark.createDataFrame(list(made.items()), "name string, text string")
+    measured = quality.measure(docs).where("NOT base_failED")
+    hits = {r["name"]: r for r in measured.select("name", *[c.alias(n) for n, c in quality.rules().items()]).collect()}
+    for name in quality.rules():
+        assert hits[name][name], name
+        assert not hits["clean"][name]
+    assert quality.judge(docs).where("kept").select("name").collect() == [("clean",)]
 
 
 def test_quality_sql(spark, sf_dir):
