@@ -9,17 +9,20 @@ aggregation over the table (source, size, number of rows), which is all the dual
 needs. Sums are of integers, so they don't depend on the order of rows and
 reruns agree to the bit.
 
-Rates become whole copies: the floor, plus one more for some of the rows with a
-remainder, taken in the order of a hash weighted by the remainder until the
-source's target is filled; what is left over is filled with ever smaller rows
-for ``fills`` rounds. Running sums go over (source, bin of the order) and then
-within a bin, so that no source is sorted as a whole in one task.
+Rates become whole copies by class, the rows of one source and size, which share a rate: the floor for each row,
+and one more for some of them. How many is fixed by systematic rounding of the
+remainders summed over the classes from the largest size down, which stays below the target by less than
+the largest text; the gap is filled with the largest texts that fit, ``fills`` times. Which rows of a class take
+the further copy is told by a hash of id and text. No source is ever sorted: classes of many rows are cut into
+bins of the hash, and hashes of many (equal) rows into parts.
 
 Sources are few (names of collections); a table of their totals is held on the
 driver, bounded by ``max_sources``, beyond which an error is raised.
 
 Null text has size 0 and takes nothing, like a text with no words. A null source
-is a source of its own, last in order. Repeated rows are mixed one by one.
+is a source of its own, last in order. Repeated rows are mixed one by one; of equal rows it isn't defined which
+takes more, but how many do. Null and equal ids are rows like others. Very long texts are counted whole. An empty
+table gives no rows. Only the id, text, source and ``keep`` columns are read; ``keep`` must not name an output.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from glyphline.llm.common import WORD, cut, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SCALE = 1_000_000
+#: Share of all rows from which a class, or a hash in it, is cut into pieces.
+HOT = 4096
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> dict[str | None, float]:
@@ -57,7 +62,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def solve(table: DataFrame, source: dict[str | None, tuple[int, int, float]], cap: float, steps: int = 60, tol: float = 1e-4) -> dict[str | None, float]:
+def solve(table: DataFrame, source: dict[str | None, tuple[int, int, float]], cap: float, steps: int = 60, tol: float = 1e-6) -> dict[str | None, float]:
     """Multiplier of each source; ``table``: source, size, n. ``source``: tokens, rows with tokens, target."""
     spark = table.sparkSession
     lam = {s: math.log(min(max(t / b, 1e-9), cap)) for s, (b, n, t) in source.items() if b and t > 0}
@@ -103,8 +108,62 @@ def solve(table: DataFrame, source: dict[str | None, tuple[int, int, float]], ca
     return lam
 
 
+def _classes(table: DataFrame, by_source: DataFrame, cap: int) -> DataFrame:
+    """s, size, n, rate, whole (copies of every row), more (further copies, one a row) of each class of ``table``."""
+    rate = F.round(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))), 6)
+    rate = F.least(F.coalesce(rate, F.lit(0.0)), F.lit(float(cap)))
+    known = table.join(F.broadcast(by_source), "s").select("s", "size", "n", rate.alias("rate"), F.floor(rate).cast("int").alias("whole"))
+    part = F.round((F.col("rate") - F.col("whole")) * SCALE).cast("bigint") * F.col("n")
+    # a row a distinct size: far fewer than rows, whatever the source holds
+    down = Window.partitionBy("s").orderBy(F.col("size").desc())
+    known = known.withColumn("part", part).withColumn("upto", F.sum(part).over(down))
+    more = F.floor(F.col("upto") / SCALE) - F.floor((F.col("upto") - F.col("part")) / SCALE)
+    return known.select("s", "size", "n", "rate", "whole", more.cast("bigint").alias("more"))
+
+
+def _topped(classes: DataFrame, target: dict[int, float], cap: int, fills: int) -> DataFrame:
+    """``classes`` with further copies of the largest texts that fit into what a source still lacks."""
+    spark = classes.sparkSession
+    size, n, copies = F.col("size"), F.col("n"), F.col("n") * F.col("whole") + F.col("more")
+    have = {r["s"]: r["t"] for r in classes.groupBy("s").agg(F.sum(copies * size).alias("t")).collect()}
+    gap = {s: target[s] - t for s, t in have.items()}
+    added: dict[tuple[int, int], int] = {}
+    schema = "s int, size long, extra long"
+    for _ in range(fills):
+        extra = spark.createDataFrame([(s, z, k) for (s, z), k in added.items()], schema)
+        room = spark.createDataFrame([(s, g) for s, g in gap.items() if g >= 1], "s int, gap double")
+        left = cap * n - copies - F.coalesce("extra", F.lit(0))
+        fits = classes.join(F.broadcast(room), "s").join(F.broadcast(extra), ["s", "size"], "left").withColumn("left", left)
+        found = fits.where((F.col("left") > 0) & (size <= F.col("gap"))).groupBy("s").agg(F.max(F.struct("size", "left")).alias("x")).collect()
+        if not found:
+            break
+        for r in found:
+            s, z = r["s"], r["x"]["size"]
+            k = min(r["x"]["left"], int(gap[s] // z))
+            added[s, z] = added.get((s, z), 0) + k
+            gap[s] -= k * z
+    extra = spark.createDataFrame([(s, z, k) for (s, z), k in added.items()], schema)
+    return classes.join(F.broadcast(extra), ["s", "size"], "left").withColumn("more", F.col("more") + F.coalesce("extra", F.lit(0))).drop("extra")
+
+
+def _celled(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """``rows`` with bin and part, which cut classes and hashes of more than ``1 / HOT`` of all rows into even pieces."""
+    pieces = F.ceil(F.col("n") * HOT / total).cast("int")
+    hot = classes.where(F.col("n") * HOT > total).select("s", "size", pieces.alias("bins"))  # fewer than HOT
+    rows = rows.join(F.broadcast(hot), ["s", "size"], "left")
+    alike = rows.where("bins IS NOT NULL").groupBy("s", "size", "salt").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total)
+    alike = cut(alike.select("s", "size", "salt", pieces.alias("parts")))  # fewer than HOT
+    rows = rows.join(F.broadcast(alike), ["s", "size", "salt"], "left")
+    unit = F.shiftrightunsigned("salt", 11) / F.lit(float(1 << 53))
+    # equal rows come after the others of their class
+    own = F.coalesce(F.floor(unit * F.col("bins")), F.lit(0)).cast("bigint")
+    return rows.withColumn("bin", F.when(F.col("parts").isNull(), own).otherwise(F.col("bins") + F.shiftrightunsigned("salt", 1))).withColumn(
+        "part", F.coalesce(F.pmod("place", "parts"), F.lit(0)).cast("int")
+    )
+
+
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, fills: int = 4, bins: int = 512, max_sources: int = 1_000_000,
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, fills: int = 6, max_sources: int = 1_000_000,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken (and ``keep``) for every row of ``docs``."""
@@ -116,66 +175,37 @@ def mix(
             F.col(source_col).alias("source"),
             F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("bigint").alias("size"),
             F.xxhash64(F.lit("mix"), F.col(id_col), text).alias("salt"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("place"),  # fixed by the cut
             *keep,
         )
     )
     table = cut(rows.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
-    names = rows.groupBy("source").agg(F.sum("size").alias("b"), F.count_if(F.col("size") > 0).alias("n")).limit(max_sources + 1).collect()
+    names = rows.groupBy("source").agg(F.sum("size").alias("b"), F.count_if(F.col("size") > 0).alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
     if len(names) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     aim = targets({r["source"]: r["b"] for r in names}, weights, cap)
     facts = {r["source"]: (r["b"], r["n"], aim[r["source"]]) for r in names}
     lam = solve(table, facts, cap)
+    number = {s: i for i, s in enumerate(facts)}
     by_source = spark.createDataFrame(
-        [(s, b, float(t), b / n if n else 1.0, min(lam[s], 1e9) if s in lam else None) for s, (b, n, t) in facts.items()],
-        "source string, source_size long, target double, mean double, lam double",
-    )
-    size = F.col("size")
-    rate = F.when(size == 0, 0.0).when(F.col("lam").isNull(), 0.0).otherwise(
-        F.round(F.exp(F.least(F.col("lam") * size / F.col("mean"), F.lit(math.log(cap)))), 6)
-    )
-    rows = rows.join(F.broadcast(by_source.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    rows = rows.withColumn("rate", F.least(rate, F.lit(float(cap)))).withColumn("copies", F.floor("rate").cast("int"))
-    unit = (F.shiftrightunsigned("salt", 11) + 1) / F.lit(float(1 << 53))  # uniform in (0, 1]
-    part = F.col("rate") - F.col("copies")
-    # a row's turn: exponential with rate equal to its remainder, so likelier rows come first
-    turn = F.when((part > 0) & (size > 0), -F.log(unit) / part)
-    rows = rows.withColumn("turn", turn)
-    # evenly filled bins of the turn, which is exponential
-    rows = cut(rows.withColumn("bin", F.floor((1 - F.exp(-F.least(F.col("turn"), F.lit(700.0)))) * bins).cast("int")))
-    for k in range(fills):
-        rows = _fill(rows, cap, last=k == fills - 1)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * size).cast("bigint").alias("taken"), *keep)
-
-
-def _fill(rows: DataFrame, cap: int, last: bool = False) -> DataFrame:
-    """One more copy for the rows that come first in turn, as far as the target goes.
-
-    Only rows no larger than what is missing, with a turn left and below the cap,
-    take part; one that got its copy has no turn left.
-    """
-    spark = rows.sparkSession
-    room = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("room"))
-    room = spark.createDataFrame([(r["source"], float(r["room"])) for r in room.collect()], "name string, room double")
-    rows = rows.join(F.broadcast(room), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    able = F.col("turn").isNotNull() & (F.col("copies") < cap) & (F.col("size") <= F.col("room"))
-    weight = F.when(able, F.col("size")).otherwise(0)
-    sums = rows.where(able).groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("name"), F.col("bin").alias("slot"), F.coalesce(F.sum("in_bin").over(upto), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bin", "stir").orderBy("turn", "doc_id", "salt").rowsBetween(Window.unboundedPreceding, 0)
-    # rows without a turn have no bin; their key is stirred so that they do not meet in one task
-    rows = rows.withColumn("stir", F.when(able, F.lit(0)).otherwise(F.pmod(F.col("salt"), F.lit(1 << 20)).cast("int") + 1))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("name")) & F.col("bin").eqNullSafe(F.col("slot")), "left")
-    rows = rows.withColumn("sum", F.coalesce("before", F.lit(0)) + F.sum(weight).over(inside))
-    taken = able & (F.col("sum") <= F.col("room"))
-    rows = rows.withColumn("hit", taken)
-    rows = (
-        rows.withColumn("copies", F.when(F.col("hit"), F.col("copies") + 1).otherwise(F.col("copies")))
-        .withColumn("turn", F.when(F.col("hit"), F.lit(None).cast("double")).otherwise(F.col("turn")))
-        .drop("name", "slot", "before", "sum", "stir", "room", "hit")
+        [(number[s], s, b, float(t), b / n if n else 1.0, min(lam[s], 1e9) if s in lam else None) for s, (b, n, t) in facts.items()],
+        "s int, name string, source_size long, target double, mean double, lam double",
     )
-    return rows if last else cut(rows)
+    names_only = F.broadcast(by_source.select("s", "name", "source_size", "target"))
+    table = table.join(F.broadcast(by_source.select("s", "name")), F.col("source").eqNullSafe(F.col("name"))).select("s", "size", "n")
+    classes = cut(_topped(cut(_classes(table, by_source, cap)), {number[s]: t for s, (_, _, t) in facts.items()}, cap, fills))
+    rows = rows.join(names_only, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    sized = _celled(rows.where("size > 0"), classes, sum(r["rows"] for r in names))
+    cells = sized.groupBy("s", "size", "bin", "part").agg(F.count("*").alias("in_cell"))
+    before = Window.partitionBy("s", "size").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("in_cell").over(before), F.lit(0))).join(classes, ["s", "size"])
+    nth = F.row_number().over(Window.partitionBy("s", "size", "bin", "part").orderBy("salt", "doc_id")) + F.col("before")
+    sized = sized.join(cells, ["s", "size", "bin", "part"]).withColumn("nth", nth)
+    copies = F.col("whole") + F.floor(F.col("more") / F.col("n")) + (F.col("nth") <= F.col("more") % F.col("n")).cast("int")
+    out = ["doc_id", "source", "size", "source_size", "target"]
+    taking = sized.withColumn("copies", copies.cast("int")).select(*out, "rate", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), *keep)
+    none = rows.where("size = 0").select(*out, F.lit(0.0).alias("rate"), F.lit(0).alias("copies"), F.lit(0).cast("bigint").alias("taken"), *keep)
+    return taking.unionByName(none)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

@@ -279,6 +279,18 @@ def test_mixture_meets_its_targets(spark):
     check_mix(rows, got, lambda t: max(0.005 * t, 3))
 
 
+def test_hot_classes_and_equal_rows_are_cut(spark):
+    # a third of the rows are one text, partly without an id; one source holds all but a few
+    rng = random.Random(31)
+    hot = prose(rng, 25)
+    rows = [(k if k % 2 else None, hot, "en", "a", 0) for k in range(900)] + [(k, prose(rng, rng.randrange(1, 60)), "en", rng.choice("aaaab"), 0) for k in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix_report(docs).collect()
+    check_mix(rows, got, lambda t: 3)
+    again = mixing.mix_report(docs.repartition(6)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
 def test_targets_share_out_the_excess():
     for sizes in ({"a": 10, "b": 1, "c": 1000}, {"a": 0, "b": 5}, {"x": 7}, {None: 3, "z": 30, "y": 300, "w": 1}):
         got, want = mixing.targets(sizes), want_targets(sizes)
