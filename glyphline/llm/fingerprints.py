@@ -2,8 +2,9 @@
 
 The k-mers are runs of five words; every k-mer carries its occurrence number (the
 second "a b c d e" of a text differs from the first). One permutation, a 64-bit
-hash of k-mer and number, deals them to ``SLOTS`` slots by its top bits. In each
-slot the two smallest are selected, put in the order of the text, and the
+hash of k-mer and number, deals them to ``SLOTS`` slots by its top bits. For each used
+slot the two smallest from its beginning on are selected (a slot with one k-mer takes its
+second from the next, the last from the first, so that short texts keep their order too), put in the order of the text, and the
 ordered pair is hashed to 16 bits: a text with the same k-mers in another order
 gets other pairs, so likeness falls with the edit distance and not only with the
 set of words. (One permutation stands for one a slot, which would take
@@ -13,13 +14,14 @@ those used by either text; two texts without words are alike.
 Within a row everything is linear but for primitive sorts: 34 bits of hash and 30
 bits of position share a long. Texts shorter than five words have one k-mer.
 
-Neighbours: rows are dealt to ranges of doc_id (quantiles, whose number follows
-the partitions, not the data), sorted inside, and each range gets a copy of the first
-row of the one after it, so no window spans more than a range. The whole text
-moves once.
+Neighbours: rows are dealt to as many ranges of (doc_id, hash of the text) as there are shuffle partitions, whose
+edges are keys of sampled rows (``EDGE_SAMPLES`` a range); the row at an edge visits the range before it as well, so
+no window spans more than a range. The whole text moves once. Null or equal ids are split by the texts' hashes;
+only rows equal in id and text share a range, whatever their number.
 
 Null text counts as empty; ids equal in value are ordered by the hash of the text;
-null ids come first. Empty table: no rows. One row: its next is itself.
+null ids come first. Very long texts are hashed whole. Repeated rows come out each. Only doc_id and text are read, whatever
+further columns are called. Empty table: no rows. One row: its next is itself.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from glyphline.llm.quality import let
 
 K, SLOT_BITS, PICK_BITS, POS_BITS = 5, 6, 16, 30
 LOW = (1 << POS_BITS) - 1
-#: Ranges for each shuffle partition, so that hashing ranges to partitions comes out even.
-RANGES_EACH = 8
+#: Sampled rows for each range, of which every so manieth is an edge.
+EDGE_SAMPLES = 32
 
 
 def _numbered(hashes: Column) -> Column:
@@ -74,9 +76,9 @@ def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     place = lambda x: x.bitwiseAND(F.lit(LOW))
 
     def code(i: Column) -> Column:
-        a, b = F.get("_s", i), F.get("_s", i + 1)
+        a, b = F.get("_s", i), F.get("_s", (i + 1) % F.size("_s"))
         pair = (
-            F.when(b.isNull() | (slot(a) != slot(b)), F.xxhash64(high(a)))
+            F.when(F.size("_s") == 1, F.xxhash64(high(a)))
             .when(place(a) <= place(b), F.xxhash64(high(a), high(b)))
             .otherwise(F.xxhash64(high(b), high(a)))
         )
@@ -98,40 +100,45 @@ def as_text(codes: str) -> Column:
     return F.array_join(F.transform(codes, lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), "")
 
 
-def _ranged(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text, tie) with range, guest; the first row of a range also as guest of the range before it."""
+def _ranged(rows: DataFrame, ranges: int) -> DataFrame:
+    """``rows`` (doc_id, text, tie, key) with range, guest; the first row of a range also as guest of the range before it.
+
+    ``key`` sorts as (doc_id, tie) does. The edges are held in one row, in pieces of about their
+    square root, of which a row is compared with the first edges and those of one piece.
+    """
     spark = rows.sparkSession
-    n = RANGES_EACH * shuffle_partitions(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    wide = max(1, int(len(cuts) ** 0.5))
-    fine = [cuts[i : i + wide] for i in range(0, len(cuts), wide)] or [[]]
-    coarse = [f[0] for f in fine[1:]]
-    below = lambda array, x: F.size(F.filter(array, lambda b: b <= x))
-    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
-    outer = below(longs(coarse), F.col("doc_id"))
-    table = F.array(*[longs(f) for f in fine])
-    rows = rows.withColumn("outer", F.coalesce(outer, F.lit(0)))
-    rows = rows.withColumn("range", (F.col("outer") * (wide + 1) + F.coalesce(below(F.get(table, F.col("outer")), F.col("doc_id")), F.lit(0))).cast("int")).drop("outer")
-    heads = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id"), "tie")).alias("head")).collect()  # a row a range
-    heads.sort(key=lambda r: r["range"])
-    guests = [(r["head"]["doc_id"], r["head"]["tie"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
-    table = spark.createDataFrame(guests, "head_id long, head_tie long, before int")
-    rows = rows.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")), "left")
+    known = rows.agg(F.count("*").alias("n"), F.min("key").alias("least")).first()
+    if not known["n"]:
+        return rows.select("*", F.lit(0).alias("range"), F.lit(0).alias("guest"))
+    picked = sorted(r["key"] for r in rows.select("key").sample(min(1.0, EDGE_SAMPLES * ranges / known["n"]), seed=11).collect())
+    step = max(1, -(-len(picked) // ranges))
+    edges = sorted({known["least"], *picked[step::step]})  # ``ranges`` at most
+    wide = max(1, int(len(edges) ** 0.5))
+    fine = [edges[i : i + wide] for i in range(0, len(edges), wide)]
+    table = spark.createDataFrame([(fine, [f[0] for f in fine[1:]])], "fine array<array<string>>, coarse array<string>")
+    upto = lambda array: F.size(F.filter(array, lambda e: e <= F.col("key")))
+    rows = rows.join(F.broadcast(table))  # a single row
+    rows = rows.withColumn("piece", upto("coarse")).withColumn("own", F.get("fine", F.col("piece")))
+    rows = rows.withColumn("range", (F.col("piece") * wide + upto("own") - 1).cast("int"))
     here = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
-    there = F.struct(F.col("before").alias("range"), F.lit(1).alias("guest"))
-    seats = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))
-    return rows.select("doc_id", "text", "tie", F.explode(seats).alias("seat")).select("doc_id", "text", "tie", "seat.*")
+    # the last row is followed by the first
+    there = F.struct(F.when(F.col("range") == 0, F.lit(len(edges) - 1)).otherwise(F.col("range") - 1).alias("range"), F.lit(1).alias("guest"))
+    seats = F.when(F.array_contains("own", F.col("key")), F.array(here, there)).otherwise(F.array(here))
+    return rows.select("doc_id", "text", "key", F.explode(seats).alias("seat")).select("doc_id", "text", "key", "seat.*")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    rows = _ranged(rows.withColumn("tie", F.xxhash64("text")))
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
+    digits = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # noqa: E731  sorts as the signed number does
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("key", F.concat(F.when(F.col("doc_id").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), digits(F.col("doc_id")))), digits(F.col("tie"))))
+    ranges = shuffle_partitions(docs.sparkSession)
+    rows = _ranged(rows, ranges).repartitionById(ranges, "range")
+    order = Window.partitionBy("range").orderBy("guest", "key")
     half = F.floor(F.length("text") / 2).cast("int")
     df = rows.withColumn("next", F.lead("text").over(order)).select(
-        "doc_id", "tie", "range", "guest", "text",
+        "doc_id", "key", "range", "guest", "text",
         F.length("text").cast("bigint").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)).alias("edited"),
     )

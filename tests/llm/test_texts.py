@@ -106,8 +106,10 @@ def order_minhash(text):
         h = (k if o == 0 else signed(xxhash.xxh64_intdigest(struct.pack("<i", o), xxhash.xxh64_intdigest(struct.pack("<q", k), 42)))) & ~low
         slots.setdefault((h & (1 << 64) - 1) >> 58, []).append((h | i, h >> 30, i))
     out = []
+    every = sorted(x for own in slots.values() for x in own)
     for s, own in sorted(slots.items(), key=lambda x: x[0] ^ 32):  # signed order
-        own = sorted(own)[:2]
+        at = every.index(min(own))
+        own = [every[at], every[(at + 1) % len(every)]][: len(every)]
         pair = [h for _, h, _ in sorted(own, key=lambda x: x[2])]
         code = xxhash.xxh64_intdigest(struct.pack("<q", pair[0]), 42)
         if len(pair) == 2:
@@ -156,6 +158,29 @@ def test_order_matters_to_fingerprints(spark):
     assert like(1, 2) < 0.8 < like(1, 3) + 0.15  # the same k-mers in another order are less alike than a small cut
 
 
+def test_short_texts_keep_their_order(spark):
+    likes = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(30)]
+        docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[15:] + words[:15]))], "doc_id long, text string") if k == 0 else docs.union(
+            spark.createDataFrame([(2 * k + 1, " ".join(words)), (2 * k + 2, " ".join(words[15:] + words[:15]))], "doc_id long, text string"))
+    f = {r["doc_id"]: set(r["f"]) for r in fingerprints.add_fingerprint(docs.coalesce(2), "text", "f").collect()}
+    for k in range(20):
+        a, b = f[2 * k + 1], f[2 * k + 2]
+        likes.append(len(a & b) / len({x >> 16 for x in a | b}))
+    assert sum(likes) / 20 < 0.5
+
+
+def test_rows_without_ids_or_of_one_id_are_spread(spark):
+    rows = [(None if i % 3 else 7, prose(random.Random(i), 25)) for i in range(900)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = rows.selectExpr("doc_id", "text", "xxhash64(text) AS tie").selectExpr("*", "CONCAT(IF(doc_id IS NULL, '0', '17'), HEX(tie + 0)) AS key")
+    seats = fingerprints._ranged(keyed, 8).groupBy("range").count().collect()
+    assert len(seats) >= 6 and max(r["count"] for r in seats) < 300
+    got = fingerprints.fingerprint_report(rows)
+    assert got.count() == 900 and got.where("near_next IS NULL").count() == 0
+
+
 def test_one_document_and_none(spark):
     assert fingerprints.fingerprint_report(no_documents(spark)).count() == 0
     r = fingerprints.fingerprint_report(spark.createDataFrame([(7, "one two three four")], "doc_id long, text string")).first()
