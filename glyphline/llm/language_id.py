@@ -14,8 +14,9 @@ and one from context to escape lengths. A batch of texts is scored by a few arra
 lookups. Texts are lower-cased, ASCII non-letters count as spaces.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything
-if nothing can be learned from. Empty table: no rows. Repeated rows: equal results.
-Whole texts are scored, however long.
+if nothing can be learned from. Empty table: no rows. Repeated rows and equal texts: equal results; ids are carried as they
+are. Whole texts are scored, however long. Columns named lang_pred or score are replaced, others stay (identify) or
+aren't read (language_report).
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from glyphline.llm.common import map_texts
 from glyphline.llm.tables import KeyTable
 
 ORDER = 4
-#: Bounds of the training sample of each language: rows, and bytes of a row.
-TRAIN_ROWS, TRAIN_ROW_BYTES = 300, 65_536
+#: Bounds of the training sample: rows of a language, bytes of a row, bytes in all (equally shared by the languages).
+TRAIN_ROWS, TRAIN_ROW_BYTES, TRAIN_BYTES = 300, 65_536, 64 << 20
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
 UNIT = 1 << 16
@@ -169,12 +170,14 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS, row_bytes: int = TRAIN_ROW_BY
     """Statistics from at most ``rows`` whole texts of each language, of at most ``row_bytes`` bytes each.
 
     Held-out rows are never read. The sample is the rows of lowest hash, so it is
-    the same in each run; it is cut by a hash threshold before anything moves.
+    the same in each run; it is cut by a hash threshold before anything moves. What reaches the
+    driver follows ``TRAIN_BYTES``, whatever the number of languages; more than
+    ``MAX_LANGUAGES`` are an error, since tables of code lengths have a column a language: split the labels then.
     """
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("train"), F.col(id_col), F.col(text_col)).alias("h")
     ).where((F.octet_length("text") <= row_bytes) & (F.length(F.trim("text")) > 0))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
@@ -182,7 +185,8 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS, row_bytes: int = TRAIN_ROW_BY
     unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     limit = F.lit(None).cast("double")
     for r in sizes:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(1.3 * rows / r["n"] + 10 / r["n"])).otherwise(limit)
+        share = min(1.3 * rows / r["n"] + 10 / r["n"], TRAIN_BYTES / len(sizes) / r["b"])
+        limit = F.when(F.col("lang") == r["lang"], F.lit(share)).otherwise(limit)
     found: dict[str, list] = {}
     for r in known.where(unit < limit).collect():
         found.setdefault(r["lang"], []).append((r["h"] & (1 << 64) - 1, r["text"]))

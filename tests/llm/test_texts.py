@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pytest
 import xxhash
 
 from glyphline.llm import chat, fingerprints, language_id, quality
@@ -267,6 +268,18 @@ def test_languages_of_odd_documents(spark):
     assert language_id.language_report(no_documents(spark)).count() == 0
 
 
+def test_training_is_bounded(spark, monkeypatch):
+    rows = [(i, prose(random.Random(i), 50), f"l{i % 4}") for i in range(2000)] + [(9000 + i, "long " * 20_000, "l0") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = language_id.learn(docs)
+    monkeypatch.setattr(language_id, "TRAIN_BYTES", 40_000)
+    few = language_id.learn(docs)
+    assert few.languages == whole.languages and 0 < len(few.grams[-1]) < len(whole.grams[-1])
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(docs)
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert language_id.language_report(docs).first()["lang_pred"] == "und"

@@ -37,7 +37,7 @@ def test_piece_ids_and_texts_are_those_of_the_library(pieces):
     codec = sentencepiece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
     texts = [t for t in ODD if t is not None] + strange_texts(800) + [prose(random.Random(1), 3000), "ab" * 5000]
     want = [pieces.encode(t) for t in texts]
-    got = codec.encode(texts)
+    got = list(codec.encode(texts))
     for t, w, g in zip(texts, want, got, strict=True):
         assert g == w, t[:80]
         assert codec.decode(g) == pieces.decode(w), t[:80]
