@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; what it returns is
 written as Parquet and read again as the next one's ``docs``. All but the last
-return the columns of ``documents``. Rows with null text leave in the first stage;
-an empty table passes through all stages as an empty table.
+return the columns of ``documents``. Rows with null or empty text leave in the first stage;
+an empty table passes through all stages as an empty table. Null and repeated ids are no reason to leave: stages decide by
+row. Of ties (rows alike in class and id) the smallest digest of the row stays. Very long texts pass whole, and
+columns named like a stage's own keep their values.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphline.llm import language_id, mixing, quality, sentencepiece_codec, simhash
-from glyphline.llm.common import fresh_dir
+from glyphline.llm.common import fresh_dir, remove_dir
 
 #: A prediction counts from this share of the evidence on; below, the language is taken as not known.
 MIN_SCORE = 0.5
@@ -57,7 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = keyed(docs)
     heads = simhash.first_rows(rows, "row_key", place(docs, "doc_id"), place(docs, "text"))
-    return named(rows.join(heads, "row_key", "left_semi").dropDuplicates(["row_key"]), docs)
+    # equal rows meet by their key, where the heads are joined to them: whole texts move once
+    return named(rows.dropDuplicates(["row_key"]).join(heads.hint("merge"), "row_key", "left_semi"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,10 +90,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. Only the last stage's table stays, since the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_dir(spark, before)
+        before = path
     return docs
