@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,8 @@ from pyspark.sql import types as T
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-#: Most rows of a batch that is sent to a worker: texts are long, so few of them fill it.
-BATCH_ROWS = 2_000
+#: Bytes of text that a worker takes at once.
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,6 +79,19 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def slices(batch: pa.RecordBatch, at: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of at most ``rows`` rows, cut where the values of column ``at`` pass ``SLICE_BYTES``."""
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist() if pa.types.is_string(batch.column(at).type) else [0] * batch.num_rows
+    first = held = 0
+    for i, n in enumerate(size):
+        if i > first and (held + n > SLICE_BYTES or i - first == rows):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -89,11 +103,8 @@ def map_texts(
 
     ``make`` runs once in each task. Columns of ``df`` named like one of
     ``fields`` are replaced by the result. Batches are worked on in slices of
-    ``slice_rows`` texts, so that memory does not follow the Arrow batch.
+    ``slice_rows`` texts and ``SLICE_BYTES`` of text (or one text), so that memory does not follow the Arrow batch.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     new = {f.name for f in fields}
     if text_col in new:
         raise ValueError(f"output column {text_col!r} would replace the input text")
@@ -109,8 +120,7 @@ def map_texts(
         fn = None
         for batch in batches:
             fn = fn or make()
-            for i in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(i, slice_rows)
+            for part in slices(batch, at, slice_rows):
                 out = fn(part.column(at).to_pylist())
                 arrays = [
                     out[f.name].cast(types[f.name]) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], types[f.name])
