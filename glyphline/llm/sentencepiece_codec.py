@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +40,7 @@ from glyphline.llm.tables import KeyTable
 from glyphline.llm.token_counts import tokenizer_path
 
 SPACE = "▁"
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -90,7 +91,7 @@ class PieceCodec:
         mixed = any(bool(letter.match(a)) != bool(letter.match(b)) for p in normal for a, b in zip(p.lstrip(SPACE), p.lstrip(SPACE)[1:], strict=False))
         # without pieces that mix letters with others, words are cut between these too
         self.words = re.compile((r" *[^ \n]+|\n| +" if mixed else r" *[^\W\d_]+| *(?:[^ \n\w]|[\d_])+|\n| +| *[^ \n]") if safe else r"(?s).+")
-        self.known: dict[str, tuple[str, list[int]]] = {}
+        self.known: dict[str, bytes] = {}
         self.id_text = [str(i) for i in range(self.n_pieces)]
         self.raw = [p.replace(SPACE, " ").encode() for p in self.piece]
         for i in range(self.n_pieces):
@@ -102,9 +103,9 @@ class PieceCodec:
                 self.raw[i] = b""
 
     # -- encoding -------------------------------------------------------------
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of each word when no pair is left."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Ids of each word (as bytes of unsigned 32-bit integers) when no pair is left."""
+        out = [b""] * len(words)
         sizes = np.array([len(w) for w in words], np.int64)
         code = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym, word = self.of_char[code], np.repeat(np.arange(len(words)), sizes)
@@ -117,9 +118,8 @@ class PieceCodec:
             length = np.diff(np.append(start, len(sym)))
             done = least == NONE
             if done.any():
-                for s, n in zip(start[done].tolist(), length[done].tolist(), strict=True):
-                    out[word[s]] = sym[s : s + n]
                 stay = np.repeat(~done, length)
+                self._settle(out, word[start[done]], length[done], sym[~stay])
                 sym, word, at, rank = sym[stay], word[stay], at[stay], rank[stay]
                 least, length = least[~done], length[~done]
                 if not len(sym):
@@ -137,6 +137,15 @@ class PieceCodec:
             sym, word = sym[left], word[left]
         return out
 
+    def _settle(self, out: list[bytes], word: np.ndarray, length: np.ndarray, sym: np.ndarray) -> None:
+        """Stores the symbols of words that are done; those that are no pieces become byte pieces."""
+        end = np.cumsum(length)
+        raw = sym.astype("<u4").tobytes()
+        for w, a, b in zip(word.tolist(), (4 * (end - length)).tolist(), (4 * end).tolist(), strict=True):
+            out[w] = raw[a:b]
+        for k in np.flatnonzero(np.maximum.reduceat(sym, end - length) >= self.n_pieces).tolist():
+            out[word[k]] = np.array(self.ids(sym[end[k] - length[k] : end[k]]), "<u4").tobytes()
+
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.pairs.find((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
 
@@ -157,11 +166,9 @@ class PieceCodec:
         return so_far == np.repeat(so_far[first], np.diff(np.append(np.flatnonzero(first), len(spot))))
 
     def ids(self, symbols: np.ndarray) -> list[int]:
-        out = symbols.tolist()
-        if max(out, default=0) < self.n_pieces:
-            return out
+        """Ids of symbols, of which those that are no pieces are spelt in bytes."""
         full = []
-        for s in out:
+        for s in symbols.tolist():
             if s < self.n_pieces:
                 full.append(s)
             else:
@@ -169,32 +176,21 @@ class PieceCodec:
                 full += [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")]
         return full
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        id_text = self.id_text
-        for w, s in zip(words, self.merge(words), strict=True):
-            ids = self.ids(s)
-            self.known[w] = (",".join([id_text[i] for i in ids]), ids)
-
     def _split(self, text: str) -> list[str]:
         text = text.replace(SPACE, " ")
         return self.words.findall(" " + text if self.prefix else text) if text else []
 
-    def words_of(self, texts: list[str | None]) -> list[list[tuple[str, list[int]]]]:
-        """Per text its words' (ids as text, ids)."""
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         split = [self._split(t or "") for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            new = {w for ws in split for w in ws}
-            self.known.clear()
-        if new:
-            self._learn(list(new))
         known = self.known
-        return [[known[w] for w in ws] for ws in split]
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[i for w in words for i in w[1]] for words in self.words_of(texts)]
+        seen = set().union(*split)
+        new = list(seen.difference(known))
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list(seen)
+        known.update(zip(new, self.merge(new), strict=True))
+        for words in split:
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4").tolist()
 
     # -- decoding -------------------------------------------------------------
     def _surface(self, ids: list[int]) -> str:
@@ -254,7 +250,7 @@ def encode_documents(df: DataFrame, text_col: str = "text", path: str | None = N
 
     def make():
         c = codec(tokenizer_path(path, "piece_bpe_32k.model"))
-        return lambda texts: {"ids": c.encode(texts)}
+        return lambda texts: {"ids": list(c.encode(texts))}
 
     return map_texts(df, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType()))], make)
 
@@ -278,10 +274,9 @@ def codec_report(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         def run(texts):
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for words in c.words_of(texts):
-                ids = [i for w in words for i in w[1]]
+            for ids in c.encode(texts):
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(sha(",".join([w[0] for w in words])))
+                out["ids_sha256"].append(sha(",".join(map(c.id_text.__getitem__, ids))))
                 out["decoded_sha256"].append(sha(c.decode(ids)))
             return out
 
