@@ -10,6 +10,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +22,28 @@ from glyphline.functions.text import hamming
 CUTS = (0, 11, 22, 33, 44, 54, 64)
 
 
-def simhash(weights: Column | str) -> Column:
-    """bigint fingerprint of array<struct<word,weight>>: bit b is set if the words that have it outweigh the others."""
-    w = F.col(weights) if isinstance(weights, str) else weights
-    hashed = F.transform(w, lambda x: F.struct(F.xxhash64(x["word"]).alias("h"), x["weight"].cast("double").alias("w")))
+def _packed(hashes: pa.Array, weights: pa.Array) -> pa.Array:
+    """Fingerprints of lists of hashes with lists of weights, which must have no nulls."""
+    ends = np.asarray(pc.list_value_length(hashes).fill_null(0)).cumsum()
+    h, w = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), weights.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros(len(ends), np.uint64)
+    starts = np.append(0, ends[:-1])
+    full = np.flatnonzero(ends > starts)
+    if len(full):
+        whole = np.add.reduceat(w, starts[full])
+        for b in range(64):  # set if the weights that have the bit are more than half
+            have = np.add.reduceat(np.where((h >> np.uint64(b)) & np.uint64(1), w, 0.0), starts[full])
+            out[full] |= np.where(2 * have > whole, np.uint64(1 << b), np.uint64(0))
+    return pa.array(out.view(np.int64))
+
 
-    def pack(hs: Column) -> Column:
-        bit = lambda b: F.when(
-            F.aggregate(hs, F.lit(0.0), lambda a, x: a + F.when(F.shiftright(x["h"], b).bitwiseAND(F.lit(1)) == 1, x["w"]).otherwise(-x["w"])) > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")
-        ).otherwise(F.lit(0).cast("bigint"))
-        out = bit(0)
-        for b in range(1, 64):
-            out = out.bitwiseOR(bit(b))
-        return out
+def simhash(weights: Column | str) -> Column:
+    """bigint fingerprint of array<struct<word,weight>>: bit b is set if the words that have it outweigh the others.
 
-    return F.get(F.transform(F.array(hashed), pack), F.lit(0))
+    Words are hashed by an expression; bits are summed for whole Arrow batches.
+    """
+    w = F.col(weights) if isinstance(weights, str) else weights
+    return F.arrow_udf(_packed, "bigint")(F.transform(w, lambda x: F.xxhash64(x["word"])), F.transform(w, lambda x: x["weight"].cast("double")))
 
 
 def top_words(tokens: Column | str, most: int = 500) -> Column:
@@ -49,6 +60,33 @@ def top_words(tokens: Column | str, most: int = 500) -> Column:
     return F.coalesce(out, F.array().cast("array<struct<word:string,weight:double>>"))
 
 
+def _of_tokens(most: int):
+    def run(tokens: pa.Array) -> pa.Array:
+        size = np.asarray(pc.list_value_length(tokens).fill_null(0))
+        coded = tokens.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        key = np.repeat(np.arange(len(size)), size) * max(1, len(words)) + np.asarray(coded.indices)
+        pairs, n = np.unique(key, return_counts=True)
+        row, word = pairs // max(1, len(words)), pairs % max(1, len(words))
+        rank = np.empty(len(words), np.int64)
+        rank[sorted(range(len(words)), key=lambda i: words[i].encode())] = np.arange(len(words))
+        order = np.lexsort((rank[word], -n, row))
+        row, word, n = row[order], word[order], n[order]
+        each = np.bincount(row, minlength=len(size))
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+        row, word, n = row[nth < most], word[nth < most], n[nth < most]
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)  # as Spark's xxhash64
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(size))))
+        return _packed(*[pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(x)) for x in (hashes[word].view(np.int64), n.astype(np.float64))])
+
+    return run
+
+
+def simhash_of_tokens(tokens: Column | str, most: int = 500) -> Column:
+    """``simhash(top_words(tokens, most))``, counted for whole Arrow batches; tokens must have no nulls."""
+    return F.arrow_udf(_of_tokens(most), "bigint")(F.col(tokens) if isinstance(tokens, str) else tokens)
+
+
 def block(fp: Column | str, k: int) -> Column:
     """Block ``k`` of a fingerprint."""
     c = F.col(fp) if isinstance(fp, str) else fp
@@ -64,7 +102,10 @@ def keys(fp: Column | str) -> Column:
 
 
 def search(queries: DataFrame, store: DataFrame, radius: int = 3) -> DataFrame:
-    """id, match: for each query the least stored id within ``radius`` bits, not itself; null if none. Both: id, fp."""
+    """id, match: for each query the least stored id within ``radius`` bits, not itself; null if none. Both: id, fp.
+
+    Both are read several times, so what makes the fingerprints should be cut before.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("keys are made for up to 3 differing bits")
     # the two least ids of a fingerprint: one of them isn't the query itself

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphline.functions import money, patterns, tags, text, times, udfs
 from glyphline.operators import augment, batching, calendar, datasets, lexicon, new_words, phrases, places, similar
+from glyphline.shared import cut
 from glyphline.sources import services
 from glyphline.streaming import dedup
 
@@ -432,7 +433,8 @@ def text_sentiment(spark, sf_dir):
 def similar_documents(spark, sf_dir):
     """Every document whose id is divisible by 100, against all."""
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    store = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similar.simhash(similar.top_words(tokens)).alias("fp"))
+    store = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similar.simhash_of_tokens(tokens).alias("fp"))
+    store = cut(store)
     return similar.search(store.where("id % 100 = 0"), store)
 
 
