@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphline.shared import cut, fresh_dir, remove_dir, shared_dir  # noqa: F401
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -20,43 +20,6 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see: ``spark.checkpoint.dir``.
-
-    Only where a local session names none (tests, a laptop) a fresh local folder is
-    made and set as the checkpoint folder; on a cluster that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphline-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ``fresh_dir`` by the file system that its path names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: lineage ends there and a
-    lost executor costs no recomputation. Spark removes the files once the
-    frame is no longer referenced (``cleanCheckpoints``)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fenced(col: Column) -> Column:
     """``col``, so that the optimiser doesn't move filters on it below the projection that makes it.
 
