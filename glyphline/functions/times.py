@@ -35,7 +35,7 @@ CLOCK_WORDS = {
     "下半夜": (2, 4), "后半夜": (2, 4), "半夜": (0, 4), "凌晨": (0, 4), "午夜": (0, 0),
 }
 SOLAR_DAYS = {"元旦": (1, 1), "情人节": (2, 14), "妇女节": (3, 8), "植树节": (3, 12), "愚人节": (4, 1), "劳动节": (5, 1), "五一": (5, 1), "青年节": (5, 4), "儿童节": (6, 1), "六一": (6, 1), "建党节": (7, 1), "建军节": (8, 1), "教师节": (9, 10), "国庆节": (10, 1), "国庆": (10, 1), "十一": (10, 1), "万圣节": (10, 31), "平安夜": (12, 24), "圣诞节": (12, 25), "圣诞": (12, 25)}
-LUNAR_DAYS = {"春节": (1, 1), "大年初一": (1, 1), "元宵节": (1, 15), "元宵": (1, 15), "龙抬头": (2, 2), "端午节": (5, 5), "端午": (5, 5), "七夕": (7, 7), "中元节": (7, 15), "中秋节": (8, 15), "中秋": (8, 15), "重阳节": (9, 9), "重阳": (9, 9), "腊八节": (12, 8), "腊八": (12, 8), "小年": (12, 23), "除夕": (12, 30), "大年三十": (12, 30), "年三十": (12, 30)}
+LUNAR_DAYS = {"春节": (1, 1), "大年初一": (1, 1), "元宵节": (1, 15), "元宵": (1, 15), "龙抬头": (2, 2), "端午节": (5, 5), "端午": (5, 5), "七夕": (7, 7), "七夕节": (7, 7), "中元节": (7, 15), "中秋节": (8, 15), "中秋": (8, 15), "重阳节": (9, 9), "重阳": (9, 9), "腊八节": (12, 8), "腊八": (12, 8), "小年": (12, 23), "除夕": (12, 30), "大年三十": (12, 30), "年三十": (12, 30)}
 WEEKDAY_FEASTS = {"母亲节": (5, 6, 2), "父亲节": (6, 6, 3), "感恩节": (11, 3, 4)}
 UNIT_DAYS = {"年": 365.0, "周年": 365.0, "季度": 91.251, "月": 30.417, "周": 7.0, "星期": 7.0, "礼拜": 7.0, "天": 1.0, "日": 1.0, "小时": 1 / 24, "钟头": 1 / 24, "刻钟": 1 / 96, "分钟": 1 / 1440, "分": 1 / 1440, "秒钟": 1 / 86400, "秒": 1 / 86400}
 DELTA_KEYS = {"年": ("year", 1), "周年": ("year", 1), "季度": ("month", 3), "月": ("month", 1), "周": ("day", 7), "星期": ("day", 7), "礼拜": ("day", 7), "天": ("day", 1), "日": ("day", 1), "工作日": ("workday", 1), "交易日": ("workday", 1), "小时": ("hour", 1), "钟头": ("hour", 1), "刻钟": ("minute", 15), "分钟": ("minute", 1), "分": ("minute", 1), "秒钟": ("second", 1), "秒": ("second", 1)}
@@ -109,16 +109,16 @@ def year_of(m: re.Match, base: datetime) -> int:
 
 
 @rule(r"(?P<y>[12][0-9]{3})(?P<m>0[1-9]|1[0-2])(?P<d>[0-3][0-9])")
-@rule(r"(?P<y>[0-9]{4})(?P<s>[-./·])(?P<m>[0-9]{1,2})(?P=s)(?P<d>[0-9]{1,2})[日号]?")
+@rule(r"(?P<y>[0-9]{4})[-./·](?P<m>[0-9]{1,2})[-./·](?P<d>[0-9]{1,2})[日号]?")
 def _ymd_digits(m, base):
     d = date(int(m["y"]), int(m["m"]), int(m["d"]))
     return d, d, POINT, "accurate"
 
 
-@rule(r"(?P<a>[0-9]{1,4})[-./·](?P<b>[0-9]{1,2})")
+@rule(r"(?P<a>[0-9]{1,4})[-./·](?P<b>[0-9]{1,2})(?P<day>[日号])?")
 def _two_digits(m, base):
     a, b = int(m["a"]), int(m["b"])
-    if len(m["a"]) == 4:
+    if len(m["a"]) == 4 and not m["day"]:
         return (*month_range(a, b), POINT, "accurate")
     d = date(base.year, a, b)
     return d, d, POINT, "accurate"
@@ -132,6 +132,8 @@ def _mid_autumn(m, base):
 
 @rule(rf"{_YF}(?P<m>{N})月份?的?(?P<d>{N})[日号]?(?P<blur>左右|前后|许)?")
 def _year_month_day(m, base):
+    if not re.search("[0-9日号]", m[0]):
+        raise ValueError("numerals without a word for the day name a lunar date")
     d = date(year_of(m, base), number(m["m"]), number(m["d"]))
     return d, d, POINT, "blur" if m["blur"] else "accurate"
 
@@ -282,7 +284,7 @@ def _rel_day(m, base):
     if m["w"] in ("昨", "今", "明"):
         raise ValueError("needs a clock time")
     d = base.date() + timedelta(DAY_WORDS[m["w"]])
-    return d, d, POINT, "accurate"
+    return d, d, SPAN if m["w"] == "全天" else POINT, "accurate"
 
 
 @rule("(?P<w>昨|今|明|当)")
@@ -339,9 +341,10 @@ def _weekday_feast(m, base):
 _LM = {"正": 1, "冬": 11, "腊": 12}
 
 
-@rule(rf"(?:(?:农历|阴历)(?P<z>)|){_YF}(?:农历|阴历)?(?P<leap>闰)?(?:(?P<lm>[正冬腊])|(?P<m>{N}))月(?:(?P<ld>初[一二三四五六七八九十])|(?P<d>{N})[日号]?)?")
+@rule(rf"(?:(?:农历|阴历)(?P<z>)|){_YF}(?:农历|阴历)?(?P<leap>闰)?(?:(?P<lm>[正冬腊])|(?P<m>{N}))月(?:(?P<ld>初(?:[一二三四五六七八九十1-9]|10))|(?P<d>{N})[日号]?)?")
 def _lunar(m, base):
-    if not (m["lm"] or m["ld"] or m["leap"] or "农历" in m[0] or "阴历" in m[0] or (m["d"] or "").startswith("廿")):
+    bare = m["d"] and not re.search("[0-9日号]", m[0])
+    if not (bare or m["lm"] or m["ld"] or m["leap"] or "农历" in m[0] or "阴历" in m[0] or (m["d"] or "").startswith("廿")):
         raise ValueError("not lunar")
     y, mo = year_of(m, base), _LM.get(m["lm"] or "") or number(m["m"])
     leap = bool(m["leap"])
@@ -353,6 +356,18 @@ def _lunar(m, base):
     return first, first + timedelta(n - 1), POINT, "accurate"
 
 
+@rule("大年初(?P<d>[一二三四五六七八九十])")
+def _new_year_days(m, base):
+    d = lunar_date(base.year, 1, number(m["d"]))
+    return d, d, POINT, "accurate"
+
+
+@rule("(?P<d>廿[一二三四五六七八九])")
+def _lunar_day(m, base):
+    d = lunar_date(base.year, base.month, number(m["d"]))
+    return d, d, POINT, "accurate"
+
+
 @rule(rf"{_YF}(?P<t>{'|'.join(lunar.TERMS)})(?:节气?|当天)?")
 def _term(m, base):
     y = year_of(m, base)
@@ -360,8 +375,10 @@ def _term(m, base):
     return d, d, POINT, "accurate"
 
 
-@rule(rf"{_YF}(?:的)?(?P<s>春|夏|秋|冬)(?:季|天|日)")
+@rule(rf"{_YF}(?:的)?(?P<s>春|夏|秋|冬)(?P<w>季|天|日)?")
 def _season(m, base):
+    if not (m["w"] or m["y"] or m["yw"]):
+        raise ValueError("a lone character")
     y = year_of(m, base)
     starts = ["立春", "立夏", "立秋", "立冬"]
     i = "春夏秋冬".index(m["s"])
@@ -422,6 +439,8 @@ def _hour(h: int, word: str | None) -> int:
             return h + 12
         if ("晚" in word or "夜" in word) and "半夜" not in word and word != "午夜" and 5 <= h <= 12:
             return h + 12
+        if word == "半夜" and 9 <= h <= 11:
+            return h + 12
         if word in ("中午", "正午") and h not in (11, 12):
             return h + 12
     return h
@@ -480,28 +499,49 @@ def dated(s: str, base: datetime) -> list[Range]:
 
 # -- durations ----------------------------------------------------------------------
 _UNIT = "周年|年|个?季度|个?月|周|个?星期|个?礼拜|天|日|个?工作日|个?交易日|个?小时|个?钟头|刻钟|分钟|分|秒钟|秒"
-_PART = re.compile(rf"(?P<half>半)?(?P<n>[0-9][0-9,]*(?:\.[0-9]+)?[万亿]?|{N}|几)?(?P<many>[多余])?(?P<mid>个)?(?P<mid2>半)?(?P<many2>[多余])?(?P<u>{_UNIT})(?P<plus>半)?")
+_PART = re.compile(rf"(?P<half>半)?(?P<n>[0-9][0-9,]*(?:\.[0-9]+)?[万亿]?|[零〇一二两俩三仨四五六七八九十百千万廿卅]+|几)?(?P<many>[多余])?(?P<mid>个)?(?P<mid2>半)?(?P<many2>[多余])?(?P<u>{_UNIT})(?P<plus>半)?(?P<bell>钟)?(?P<many3>多)?")
+
+
+def large(s: str) -> int:
+    """``number`` with thousands and ten thousands."""
+    total = 0
+    for mark, worth in (("万", 10_000), ("千", 1000)):
+        if mark in s:
+            head, s = s.split(mark, 1)
+            total += (large(head) if head else 1) * worth
+    return total + (number(s.removeprefix("零")) if s.strip("零") else 0)
+
+
+_NEXT_TO = re.compile(f"(?P<a>[一二两三四五六七八九])(?P<b>[二三四五六七八九])(?P<u>{_UNIT})")
+
+
+def neighbours(s: str) -> tuple[str, str] | None:
+    """两三天: the texts of both durations."""
+    m = _NEXT_TO.fullmatch(s)
+    return (m["a"] + m["u"], m["b"] + m["u"]) if m and number(m["b"]) == number(m["a"]) + 1 else None
 
 
 def duration(s: str) -> tuple[dict[str, float], float, bool] | None:
     """(units, days, blurred) of a text that is all duration."""
+    if neighbours(s):
+        return None
     at, units, days, blur = 0, {}, 0.0, False
     if s[:1] in ("近", "约"):
         s, blur = s[1:], True
     while at < len(s):
         m = _PART.match(s, at)
-        if not m or not (m["n"] or m["half"] or m["mid2"]) or m["n"] == "几":
+        if not m or not (m["n"] or m["half"] or m["mid2"]) or m["n"] == "几" or (m["bell"] and not m["plus"]):
             return None
         n = 0.0
         if m["n"]:
             big = {"万": 1e4, "亿": 1e8}.get(m["n"][-1], 1.0)
-            n = float(m["n"].rstrip("万亿").replace(",", "")) * big if m["n"][0].isascii() else float(number(m["n"]))
+            n = float(m["n"].rstrip("万亿").replace(",", "")) * big if m["n"][0].isascii() else float(large(m["n"]))
         n += 0.5 * (bool(m["half"]) + bool(m["mid2"]) + bool(m["plus"]))
         u = m["u"].removeprefix("个")
         key, times = DELTA_KEYS[u]
         units[key] = units.get(key, 0.0) + n * times
         days += n * UNIT_DAYS.get(u, 1.0)
-        blur = blur or bool(m["many"] or m["many2"] or m["plus"])
+        blur = blur or bool(m["many"] or m["many2"] or m["many3"] or (m["plus"] and key in ("year", "month")))
         at = m.end()
     return (units, days, blur) if units else None
 
@@ -528,6 +568,17 @@ def _workday(base: datetime, n: int) -> datetime:
     return at
 
 
+def _decades(tens: str | None, word: str, base: datetime) -> dict | None:
+    """几十年, 二十几年: between one number of tens of years and the next, or a hundred."""
+    if not tens or word not in ("前", "后", "之前", "之后", "以前", "以后"):
+        return None
+    low = number(tens)
+    if low < 10 or low % 10:
+        return None
+    a, b = sorted(base.year + (-k if "前" in word else k) for k in (low, low + 10))
+    return _made(SPAN, "blur", datetime(a, 1, 1), datetime(b, 12, 31, 23, 59, 59))
+
+
 def offset(s: str, base: datetime) -> dict | None:
     """A duration with a word for its side of the base: 后, 前, 之后, 之前, 内, 来, or 未来, 过去 in front."""
     if m := re.fullmatch("(?P<w>未来|今后|过去|最近|近|再?过)的?(?P<x>.+)", s):
@@ -537,7 +588,15 @@ def offset(s: str, base: datetime) -> dict | None:
     else:
         return None
     body = body.removeprefix("的")
-    got = None if re.fullmatch("[0-9]{4}年", body) else duration(body)
+    if (ends := neighbours(body)) and (a := offset(ends[0] + word, base)) and (b := offset(ends[1] + word, base)):
+        lo, hi = min(a["start"], b["start"]), max(a["end"], b["end"])
+        return {**a, "type": SPAN, "definition": "blur", "start": lo, "end": hi}
+    if body == "几十年" and word in ("前", "后", "之前", "之后", "以前", "以后"):
+        a, b = sorted(base.year + (-k if "前" in word else k) for k in (20, 100))
+        return _made(SPAN, "blur", datetime(a, 1, 1), datetime(b, 12, 31, 23, 59, 59))
+    if several := re.fullmatch(f"(?P<n>{N})?几年", body):
+        return _decades(several["n"], word, base)
+    got = None if re.fullmatch("[0-9零〇一二三四五六七八九]{4}年", body) else duration(body)
     if got is None:
         return None
     units, days, blur = got
@@ -549,9 +608,9 @@ def offset(s: str, base: datetime) -> dict | None:
         far = base + timedelta(days=days) * (-1 if back else 1)
     coarse = small in ("year", "month")
     how = "blur" if blur or coarse else "accurate"
-    cut = small if small in ("year", "month", "day", "workday") and float(units[small]).is_integer() else ("month" if small == "year" else "day" if small in ("month", "day") else small)
+    cut = small if small in ("year", "month", "day", "workday") and float(units[small]).is_integer() else {"year": "month", "month": "day", "day": "hour"}.get(small, small)
     if word in ("过", "再过"):
-        return _made(SPAN, how, far if not coarse else _edge(far, "day", False), None)
+        return _made(SPAN, "blur", _edge(far, "day", False), None) if small in ("year", "month", "day") else _made(SPAN, how, far, None)
     if word in ("未来", "今后"):
         return _made(SPAN, how, base, _edge(far, "day", True) if coarse else far)
     if word in ("过去", "最近", "近"):
@@ -562,13 +621,17 @@ def offset(s: str, base: datetime) -> dict | None:
         return _made(SPAN, "blur", None, _edge(far, cut, True))
     if word in ("后", "前"):
         if small in ("hour", "minute", "second"):
-            step = {"hour": timedelta(hours=1), "minute": timedelta(minutes=15 if "刻" in body else 1), "second": timedelta(seconds=1)}[small] if float(units[small]).is_integer() else timedelta(minutes=30)
+            step = {"hour": timedelta(hours=1), "minute": timedelta(minutes=15 if "刻" in body else 1), "second": timedelta(seconds=1)}[small] if units[small] >= 1 else timedelta(minutes=30)
             lo, hi = (far, far + step) if word == "后" else (far - step, far)
             return _made(POINT, how, lo, hi)
         if small == "year" and re.search("[0-9十百][多余]", body) and units["year"] >= 10:
             more = base + timedelta(days=(days + 365 * (100 if units["year"] >= 100 else 10)) * (-1 if back else 1))
             lo, hi = min(far, more), max(far, more)
             return _made(SPAN, "blur", _edge(lo, cut, False), _edge(hi, cut, True))
+        if small == "month" and units[small] > 1 and not float(units[small]).is_integer():  # a unit's width from the far end on
+            wide = timedelta(UNIT_DAYS["月"])
+            lo, hi = (far, far + wide) if word == "后" else (far - wide, far)
+            return _made(SPAN, "blur", _edge(lo, "day", False), _edge(hi, "day", True))
         return _made(SPAN if coarse else POINT, how, _edge(far, cut, False), _edge(far, cut, True))
     if back:
         return _made(SPAN, how if word != "近" else "blur", _edge(far, cut, False), base)
@@ -595,6 +658,8 @@ def point(s: str, base: datetime, future: bool = False) -> dict | None:
     s = re.sub("(?<=[日号])[（(]?(?:周|星期|礼拜)[一二三四五六日天][)）]?", "", s)
     for i in range(len(s), -1, -1):
         head, tail = s[:i].removesuffix("的"), s[i:]
+        if re.match("[0-9]{1,2}[:：]", tail):
+            head = head.removesuffix("-")
         hms = clock(tail) if tail else None
         if tail and hms is None:
             continue
@@ -624,7 +689,7 @@ def point(s: str, base: datetime, future: bool = False) -> dict | None:
 _CUT = re.compile("到|至|—+|--|[-~～]")
 
 
-_OWN = re.compile("去年|今年|明年|前年|后年|大|上|下|这|本|今|明|昨|后天|前天|现在")
+_OWN = re.compile("去年|今年|明年|前年|后年|大|上(?!午)|下(?!午)|这|本|今|明|昨|后天|前天|现在")
 _CLOCK_END = re.compile(rf"(?:{N})(?:点钟?|时)$")
 
 
@@ -670,6 +735,12 @@ def span(s: str, base: datetime) -> dict | None:
 
 def period(s: str, base: datetime) -> dict | None:
     """每 with a unit, a number of units or a weekday, and perhaps a clock time."""
+    if m := re.fullmatch("每(?P<u>个?|周的?)工作日的?(?P<rest>.*)", s):
+        day = base.date() if base.weekday() < 5 else _workday(base, 1).date()
+        at = point(m["rest"], datetime.combine(day, base.time())) if m["rest"] else None
+        if m["rest"] and at is None:
+            return None
+        return {**(at or _made("time_period", "accurate", base, None, start=None, end=None)), "type": "time_period", "definition": "accurate", "delta": {"day": 7.0 if "周" in m["u"] else 1.0}}
     m = re.fullmatch(rf"每(?:隔)?(?P<n>{N}|半)?个?(?P<u>周|星期|礼拜|年|季度|月|天|日|小时|钟头|分钟|刻钟|秒)(?P<rest>.*)", s)
     if not m:
         return None
@@ -685,14 +756,37 @@ def period(s: str, base: datetime) -> dict | None:
     return {**_made("time_period", "accurate", base, None), "start": None, "end": None, **out}
 
 
+def _range_of(s: str) -> tuple[str, str] | None:
+    """The texts of both ends of a range of durations; what lacks its unit takes the other's."""
+    if ends := neighbours(s):
+        return ends
+    if m := re.fullmatch("(?P<a>.+?)以上[,，]?(?P<b>.+?)以下", s):
+        return m["a"], m["b"]
+    for m in re.finditer("到|至|—+|-+|[~～]", s):
+        a, b = s[: m.start()], s[m.end() :]
+        if a and b and duration(b):
+            unit = re.search(f"(?:{_UNIT})$", b)
+            return (a, b) if duration(a) else (a + (unit[0] if unit else ""), b)
+    return None
+
+
 def delta(s: str) -> dict | None:
-    """A duration on its own; 以上 and 以下 make an open range."""
+    """A duration on its own; 以上 and 以下 make an open range, two durations a closed one."""
+    made = lambda how, lo, hi=None: {"type": "time_delta", "definition": how, "start": None, "end": None, "delta": lo, "delta_hi": hi}
+    if s == "大半天":
+        return made("blur", {"day": 0.5}, {"day": 0.9})
+    if m := re.fullmatch(f"(?P<n>{N})载(?:春秋)?", s):
+        return made("blur", {"year": float(number(m["n"]))})
+    if m := re.fullmatch(f"(?P<n>{N})[天日](?P<k>{N})[晚夜]", s):
+        return made("accurate", {"day": float(number(m["n"]))}) if abs(number(m["n"]) - number(m["k"])) <= 1 else None
+    if (ends := _range_of(s)) and (lo := duration(ends[0])) and (hi := duration(ends[1])):
+        return made("blur", lo[0], hi[0]) if lo[1] <= hi[1] else None
     body = re.sub("(?:以上|以下|以内)$", "", s)
     got = duration(body)
     if got is None:
         return None
     units, _, blur = got
-    out = {"type": "time_delta", "definition": "blur" if blur or body != s else "accurate", "start": None, "end": None, "delta": units, "delta_hi": None}
+    out = made("blur" if blur or body != s else "accurate", units)
     if body != s:
         low = s.endswith("以上")
         out["delta"], out["delta_hi"] = (units, {"infinite": 1.0}) if low else ({"zero": 1.0}, units)
@@ -703,7 +797,7 @@ def parse(text: str | None, base: datetime, kind: str | None = None, future: boo
     """The one reading of a text that is all time; None if it isn't. ``kind`` asks for one type."""
     if not text or not text.strip():
         return None
-    s = re.sub(r"\s+", " ", text.strip()).translate({0xFF10 + i: str(i) for i in range(10)})
+    s = re.sub(r"\s+", " ", text.strip()).translate({0xFF10 + i: str(i) for i in range(10)} | {0xFF0D: "-"})
     s = re.sub(r"(?<=[0-9]) (?=[0-9]{1,2}[:：])", "的", s).replace(" ", "")
     if len(s) > 64:
         return None

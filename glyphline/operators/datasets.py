@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphline.shared import cut
+
 
 def class_words(docs: DataFrame, tokens: str, label: str, min_freq: int = 10, min_share: float = 0.8) -> DataFrame:
     """label, word, n, p: words of which more than ``min_share`` of the uses fall to one class."""
@@ -35,24 +37,42 @@ def split(rows: DataFrame, key: str, ratio: tuple[float, float, float] = (0.8, 0
     return rows.withColumn("part", F.when(unit < a, "train").when(unit < a + b, "valid").otherwise("test"))
 
 
-def analyse(rows: DataFrame, key: str, label: str, ratio: tuple[float, float, float] = (0.8, 0.05, 0.15), tries: int = 3, most_ratio: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """Split rows, and for each part and label its number and share, kl and ratio; another seed is tried while a part differs too much."""
-    whole = class_shares(rows, label)
+def _report(dealt: DataFrame, labels: str, multi: bool) -> DataFrame:
+    """part, label, n, share, kl (bits, whole to part), ratio (to the entropy of the whole)."""
+    one = dealt.select("part", F.explode(labels).alias("label") if multi else F.col(labels).alias("label"))
+    counts = one.groupBy("part", "label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("part").agg(F.sum("n").alias("rows"))
+    by = counts.join(sizes, "part").select("part", "label", "n", (F.col("n") / F.col("rows")).alias("share"))
+    total = counts.agg(F.sum("n").alias("rows"))
+    p = counts.groupBy("label").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total)).select("label", (F.col("n") / F.col("rows")).alias("p"))  # one row
+    kl = by.join(p, "label").groupBy("part").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("share"))).alias("kl"))
+    ent = p.agg((-F.sum(F.col("p") * F.log2("p"))).alias("ent"))
+    return by.join(kl, "part").crossJoin(F.broadcast(ent)).withColumn("ratio", F.when(F.col("ent") > 0, F.col("kl") / F.col("ent")).otherwise(0.0)).drop("ent")
+
+
+def analyse(
+    rows: DataFrame, key: str, label: str, ratio: tuple[float, float, float] = (0.8, 0.05, 0.15), tries: int = 3, most_ratio: float = 0.05, multi: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Split rows, and for each part and label its number and share, kl and ratio; another seed is tried while a part differs too much.
+
+    ``multi``: ``label`` is an array, and shares are those of all its elements.
+    """
     for seed in range(tries):
         dealt = split(rows, key, ratio, seed)
-        counts = dealt.groupBy("part", F.col(label).alias("label")).agg(F.count("*").alias("n"))
-        sizes = counts.groupBy("part").agg(F.sum("n").alias("rows"))
-        by = counts.join(sizes, "part").select("part", "label", "n", (F.col("n") / F.col("rows")).alias("share"))
-        p = whole.select("label", F.col("share").alias("p"))
-        kl = by.join(p, "label").groupBy("part").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("share"))).alias("kl"))
-        ent = whole.agg((-F.sum(F.col("share") * F.log2("share"))).alias("ent"))
-        report = by.join(kl, "part").crossJoin(F.broadcast(ent)).withColumn("ratio", F.when(F.col("ent") > 0, F.col("kl") / F.col("ent")).otherwise(0.0)).drop("ent")
+        report = _report(dealt, label, multi)
         worst = report.agg(F.max("ratio").alias("r")).first()["r"]
         if worst is None or worst <= most_ratio:
             break
     return dealt, report
 
 
+def analyse_entities(rows: DataFrame, key: str, spans: str = "entities", **options) -> tuple[DataFrame, DataFrame]:
+    """``analyse`` by the types of entities: shares are those of all entities."""
+    typed = rows.withColumn("_types", F.transform(spans, lambda e: e["type"]))
+    dealt, report = analyse(typed, key, "_types", multi=True, **options)
+    return dealt.drop("_types"), report
+
+
 def entity_counts(rows: DataFrame, spans: str = "entities") -> DataFrame:
     """type, text, n."""
     return rows.select(F.explode(spans).alias("e")).groupBy(F.col("e.type").alias("type"), F.col("e.text").alias("text")).agg(F.count("*").alias("n"))
@@ -77,6 +97,19 @@ def measures(matrix: DataFrame) -> DataFrame:
     return by.where(F.col("tag").isNotNull()).select("tag", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), F.col("in_gold").alias("support"))
 
 
+def word_measures(rows: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """One row: precision, recall, f1 of words (arrays of strings of the same text); a word counts if both its ends are the same."""
+
+    def spans(words: str) -> Column:
+        ends = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w))))
+        return F.transform(F.col(words), lambda w, i: F.struct(F.get(ends, i).alias("start"), F.get(ends, i + 1).alias("end")))
+
+    hit = F.size(F.array_intersect(spans(gold), spans(pred)))
+    sums = rows.agg(F.sum(hit).alias("h"), F.sum(F.size(gold)).alias("g"), F.sum(F.size(pred)).alias("p"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return sums.select(share("h", "p").alias("precision"), share("h", "g").alias("recall"), F.when(F.col("h") > 0, 2 * F.col("h") / (F.col("g") + F.col("p"))).otherwise(0.0).alias("f1"))
+
+
 def entity_measures(rows: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """type, precision, recall, f1, support: an entity counts if type and both ends are the same."""
     key = lambda c: F.transform(c, lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end")))
@@ -133,3 +166,32 @@ def grade_models(scores: DataFrame, epochs: int = 20, tol: float = 1e-5) -> tupl
         if moved < tol:
             break
     return final, weight
+
+
+def grade_models_by_question(scores: DataFrame, epochs: int = 20, rate: float = 0.01, tol: float = 1e-5, steps: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Graders' weights for each graded model and question.
+
+    ``scores``: grader, graded, question, score. A round takes the weighted mean of each answer's grades
+    (in ``1 / steps``), lowers each weight by ``rate`` times its squared gap, never below 0, and averages it with the grader's
+    own share of scores above the least. Weights of one answer sum to 1; where all fall to 0 they are even again. Stops
+    when the weights' squared change falls below ``tol``. Returns (graded, score) and (grader, weight).
+    """
+    each = ["graded", "question"]
+    by = Window.partitionBy(*each)
+    state = cut(scores.select("grader", *each, "score", (F.lit(1.0) / F.count("*").over(by)).alias("w")))
+    for _ in range(epochs):
+        mean = F.bround(F.sum(F.col("w") * F.col("score")).over(by) * steps) / steps
+        moved = state.withColumn("mean", mean).withColumn("lowered", F.greatest(F.col("w") - rate * (F.col("score") - F.col("mean")) ** 2, F.lit(0.0)))
+        total = F.sum("lowered").over(by)
+        moved = moved.withColumn("lowered", F.when(total > 0, F.col("lowered") / total).otherwise(F.lit(1.0) / F.count("*").over(by)))
+        got = moved.select(*each, "mean").distinct().groupBy("graded").agg(F.sum("mean").alias("score"))
+        above = got.crossJoin(F.broadcast(got.agg(F.min("score").alias("least"), (F.sum("score") - F.count("*") * F.min("score")).alias("all"), F.count("*").alias("models"))))  # one row
+        own = above.select(F.col("graded").alias("grader"), F.when(F.col("all") > 0, (F.col("score") - F.col("least")) / F.col("all")).otherwise(F.lit(1.0) / F.col("models")).alias("own"))
+        new = cut(moved.join(own, "grader", "left").withColumn("new", (F.col("lowered") + F.coalesce("own", F.lit(0.0))) / 2).select("grader", *each, "score", "w", "new", "mean"))
+        gap = new.agg(F.sum((F.col("new") - F.col("w")) ** 2).alias("g")).first()["g"]
+        final = new.select(*each, "mean").distinct().groupBy("graded").agg(F.sum("mean").alias("score"))
+        state = new.select("grader", *each, "score", F.col("new").alias("w"))
+        if gap is None or gap < tol:
+            break
+    weights = state.groupBy("grader").agg(F.sum("w").alias("w"))
+    return final, weights.crossJoin(F.broadcast(weights.agg(F.sum("w").alias("all")))).select("grader", (F.col("w") / F.col("all")).alias("weight"))

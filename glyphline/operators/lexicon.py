@@ -10,6 +10,7 @@ is checked. Matching ignores ASCII case. A word of several types has the first.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from glyphline.functions import patterns as P
 from glyphline.functions.tags import SPANS
 from glyphline.functions.text import find_spans
+from glyphline.shared import once
 
 SMALL_WORDS = 2_000
-#: Most bytes of words that are sent to every worker.
-MAX_BYTES = 256 << 20
+#: Most characters of words that are sent to every worker; the automaton takes some 40 bytes for each.
+MAX_CHARS = 16 << 20
 
 
 def flat(lexicon: dict[str, list[str]]) -> dict[str, str]:
@@ -69,16 +71,17 @@ def longest(text: str, made) -> list[tuple[str, int, int, str]]:
 def entities_large(df: DataFrame, text_col: str, lexicon: dict[str, list[str]], out: str = "entities") -> DataFrame:
     """``df`` with the spans of a large dictionary in ``out``."""
     words = flat(lexicon)
-    if sum(len(w.encode()) for w in words) > MAX_BYTES:
-        raise ValueError("dictionary is too large for one worker: split it")
+    if sum(map(len, words)) > MAX_CHARS:
+        raise ValueError("dictionary is too large for one worker: split it and look for each part")
+    key = f"lexicon {uuid.uuid4().hex}"
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(words))
+    words_known = bool(words)
     kept = [c for c in df.columns if c != out]
     at = kept.index(text_col)
     span = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pickle.loads(shared.value)
-        made = automaton(known) if known else None
+        made = once(key, lambda: automaton(pickle.loads(shared.value))) if words_known else None
         for b in batches:
             rows = []
             for t in b.column(at).to_pylist():
@@ -90,6 +93,20 @@ def entities_large(df: DataFrame, text_col: str, lexicon: dict[str, list[str]],
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, f"{ddl}, `{out}` {SPANS}")
 
 
+def _edges(words: Column, spans: Column) -> Column:
+    """Offsets at which a sentence is cut when ``spans`` are whole words: 0, ..., its length."""
+    cuts = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w))))
+    inside = lambda p: F.exists(spans, lambda s: (s["start"] < p) & (p < s["end"]))
+    edges = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
+    return F.array_sort(F.array_distinct(F.concat(F.filter(cuts, lambda p: ~inside(p)), edges)))
+
+
+def _pieces(every: Column, make) -> Column:
+    """``make(start, end)`` for each two neighbouring offsets."""
+    each = lambda e: F.transform(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), lambda p, i: make(p, F.get(e, i + 1)))
+    return F.get(F.transform(F.array(every), each), F.lit(0))
+
+
 def resegment(col: Column | str, standard: list[str]) -> Column:
     """Words of a sentence (array) cut anew so that every standard word in its text is one word.
 
@@ -97,10 +114,20 @@ def resegment(col: Column | str, standard: list[str]) -> Column:
     """
     words = F.col(col) if isinstance(col, str) else col
     text = F.array_join(words, "")
-    spans = entities(text, {"w": standard})
-    cuts = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w))))
-    inside = lambda p: F.exists(spans, lambda s: (s["start"] < p) & (p < s["end"]))
-    edges = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
-    every = F.array_sort(F.array_distinct(F.concat(F.filter(cuts, lambda p: ~inside(p)), edges)))
-    pieces = lambda e: F.transform(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), lambda p, i: F.substring(text, p + 1, F.get(e, i + 1) - p))
-    return F.get(F.transform(F.array(every), pieces), F.lit(0))
+    return _pieces(_edges(words, entities(text, {"w": standard})), lambda a, b: F.substring(text, a + 1, b - a))
+
+
+def retag(col: Column | str, standard: dict[str, str]) -> Column:
+    """array<struct<word,pos>> cut anew as by ``resegment``; standard words get their own part of speech, what is left of others keeps its."""
+    tokens = F.col(col) if isinstance(col, str) else col
+    words = F.transform(tokens, lambda t: t["word"])
+    text = F.array_join(words, "")
+    spans = entities(text, {kind: [w for w, k in standard.items() if k == kind] for kind in dict.fromkeys(standard.values())})
+    ends = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w))))
+
+    def piece(a: Column, b: Column) -> Column:
+        own = F.filter(spans, lambda s: (s["start"] == a) & (s["end"] == b))
+        old = F.get(tokens, F.size(F.filter(ends, lambda e: e <= a)) - 1)["pos"]
+        return F.struct(F.substring(text, a + 1, b - a).alias("word"), F.coalesce(F.get(own, F.lit(0))["type"], old).alias("pos"))
+
+    return _pieces(_edges(words, spans), piece)

@@ -7,12 +7,15 @@ to the workers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphline.shared import once
+
 MAX_ROWS = 1_000_000
 PARSED = "province string, city string, county string, town string, village string, detail string, full_location string, orig_location string"
 
@@ -146,11 +149,12 @@ def collected(gazetteer: DataFrame) -> list[dict]:
 def parse_locations(df: DataFrame, text_col: str, gazetteer: DataFrame, changes: dict[tuple, tuple] | None = None, town_village: bool = False) -> DataFrame:
     """``df`` with the parts of an address (columns of these names are replaced)."""
     shared = df.sparkSession.sparkContext.broadcast((collected(gazetteer), changes))
+    key = f"gazetteer {uuid.uuid4().hex}"
     names = [x.split()[0] for x in PARSED.split(", ")]
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = Gazetteer(*shared.value)
+        places = once(key, lambda: Gazetteer(*shared.value))
         blank = dict.fromkeys(names)
         for f in frames:
             parsed = pd.DataFrame([blank if t is None else places.parse(t, town_village) for t in f[text_col]], columns=names, index=f.index)
@@ -160,23 +164,58 @@ def parse_locations(df: DataFrame, text_col: str, gazetteer: DataFrame, changes:
     return kept.mapInPandas(run, f"{ddl}, {PARSED}")
 
 
-def recognise_locations(df: DataFrame, id_col: str, tokens: str, gazetteer: DataFrame, top: int = 3) -> DataFrame:
-    """id, rank, province, city, county, n: the places that a text's place tokens (pos ns) name most.
+class WorldPlaces:
+    """Names to (country, city); cities are also known with 市 behind them."""
+
+    def __init__(self, rows: list[dict]):
+        self.names: dict[str, list[tuple[str, str | None]]] = {}
+        for r in rows:
+            for name, place in [(n, (r["country"], None)) for n in (r["country"], *(r.get("aliases") or []))] + ([(n, (r["country"], r["city"])) for n in (r["city"], f"{r['city']}市")] if r.get("city") else []):
+                if place not in self.names.setdefault(name, []):
+                    self.names[name].append(place)
 
-    Tokens are counted by document in the array itself; nothing is shuffled.
+    def recognise(self, counts: list[tuple[str, int]], top: int = 3) -> list[tuple[tuple, int]]:
+        """Places of counted names; a country is folded into its most frequent city that is named too."""
+        cities: dict[tuple, int] = {}
+        countries: dict[str, int] = {}
+        for name, n in counts:
+            for country, city in self.names.get(name, []):
+                if city:
+                    cities[country, city] = cities.get((country, city), 0) + n
+                else:
+                    countries[country] = countries.get(country, 0) + n
+        for country, n in countries.items():
+            own = [p for p in cities if p[0] == country]
+            place = max(own, key=lambda p: (cities[p], p)) if own else (country, None)
+            cities[place] = cities.get(place, 0) + n
+        return sorted(cities.items(), key=lambda x: (-x[1], repr(x[0])))[:top]
+
+
+def recognise_locations(df: DataFrame, id_col: str, tokens: str, gazetteer: DataFrame, top: int = 3, world: DataFrame | None = None) -> DataFrame:
+    """id, kind, rank, province, city, county, country, name, n: the places that a text's place tokens (pos ns) name most.
+
+    Kinds: domestic (of ``gazetteer``), foreign (of ``world``: country, city, aliases) and other, the names of
+    neither, which aren't cut to ``top``. Tokens are counted by document in the array itself; nothing is shuffled.
     """
-    shared = df.sparkSession.sparkContext.broadcast(collected(gazetteer))
+    shared = df.sparkSession.sparkContext.broadcast((collected(gazetteer), collected(world) if world is not None else []))
+    key = f"places {uuid.uuid4().hex}"
     words = F.transform(F.filter(tokens, lambda t: t["pos"] == "ns"), lambda t: t["word"])
+    columns = ["id", "kind", "rank", "province", "city", "county", "country", "name", "n"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = Gazetteer(shared.value)
+        places, abroad = once(key, lambda: (Gazetteer(shared.value[0]), WorldPlaces(shared.value[1])))
         for f in frames:
-            rows = []
+            rows: list[tuple] = []
             for doc, ws in zip(f["id"], f["words"], strict=True):
                 counts: dict[str, int] = {}
                 for w in [] if ws is None else ws:
                     counts[w] = counts.get(w, 0) + 1
-                rows += [(doc, k + 1, *path, n) for k, (path, n) in enumerate(places.recognise(list(counts.items()), top))]
-            yield pd.DataFrame(rows, columns=["id", "rank", "province", "city", "county", "n"])
-
-    return df.select(F.col(id_col).cast("string").alias("id"), words.alias("words")).mapInPandas(run, "id string, rank int, province string, city string, county string, n long")
+                known = list(counts.items())
+                rows += [(doc, "domestic", k + 1, *path, None, None, n) for k, (path, n) in enumerate(places.recognise(known, top))]
+                rows += [(doc, "foreign", k + 1, None, city, None, country, None, n) for k, ((country, city), n) in enumerate(abroad.recognise(known, top))]
+                rest = sorted(((w, n) for w, n in known if not places.exact(w) and w not in abroad.names), key=lambda x: (-x[1], x[0]))
+                rows += [(doc, "other", k + 1, None, None, None, None, w, n) for k, (w, n) in enumerate(rest)]
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    kinds = "id string, kind string, rank int, province string, city string, county string, country string, name string, n long"
+    return df.select(F.col(id_col).cast("string").alias("id"), words.alias("words")).mapInPandas(run, kinds)

@@ -37,53 +37,71 @@ def _packed(hashes: pa.Array, weights: pa.Array) -> pa.Array:
     return pa.array(out.view(np.int64))
 
 
+def _hashed(words: list[str]) -> np.ndarray:
+    """As Spark's xxhash64, unsigned."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+
+
+def _of_weights(weights: pa.Array) -> pa.Array:
+    ends = np.append(0, np.asarray(pc.list_value_length(weights).fill_null(0)).cumsum()).astype(np.int32)
+    flat = weights.flatten()
+    coded = flat.field("word").dictionary_encode()
+    hashes = _hashed(coded.dictionary.to_pylist())[np.asarray(coded.indices)].view(np.int64)
+    made = _packed(pa.ListArray.from_arrays(ends, pa.array(hashes)), pa.ListArray.from_arrays(ends, flat.field("weight").cast(pa.float64())))
+    return pc.if_else(weights.is_null(), None, made)
+
+
 def simhash(weights: Column | str) -> Column:
     """bigint fingerprint of array<struct<word,weight>>: bit b is set if the words that have it outweigh the others.
 
-    Words are hashed by an expression; bits are summed for whole Arrow batches.
+    Words are hashed and bits summed for whole Arrow batches; null for null, 0 for no words.
     """
-    w = F.col(weights) if isinstance(weights, str) else weights
-    return F.arrow_udf(_packed, "bigint")(F.transform(w, lambda x: F.xxhash64(x["word"])), F.transform(w, lambda x: x["weight"].cast("double")))
-
+    return F.arrow_udf(_of_weights, "bigint")(F.col(weights) if isinstance(weights, str) else weights)
+
+
+def _ranked(tokens: pa.Array, most: int) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Offsets of lists, the words, and for each list's entries the word (by number) and its count: most frequent first, ties by word."""
+    size = np.asarray(pc.list_value_length(tokens).fill_null(0))
+    coded = tokens.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    wide = max(1, len(words))
+    pairs, n = np.unique(np.repeat(np.arange(len(size)), size) * wide + np.asarray(coded.indices), return_counts=True)
+    row, word = pairs // wide, pairs % wide
+    rank = np.empty(len(words), np.int64)
+    rank[sorted(range(len(words)), key=lambda i: words[i].encode())] = np.arange(len(words))
+    order = np.lexsort((rank[word], -n, row))
+    row, word, n = row[order], word[order], n[order]
+    each = np.bincount(row, minlength=len(size))
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    row, word, n = row[nth < most], word[nth < most], n[nth < most]
+    return np.append(0, np.cumsum(np.bincount(row, minlength=len(size)))).astype(np.int32), words, word, n
+
+
+def _top_words(most: int):
+    def run(tokens: pa.Array) -> pa.Array:
+        ends, words, word, n = _ranked(tokens, most)
+        pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()).take(pa.array(word)), pa.array(n.astype(np.float64))], ["word", "weight"])
+        return pa.ListArray.from_arrays(ends, pairs)
 
-def top_words(tokens: Column | str, most: int = 500) -> Column:
-    """array<struct<word,weight>>: the most frequent words of a text with their counts, ties by word."""
-    t = F.array_sort(F.col(tokens) if isinstance(tokens, str) else tokens)
+    return run
 
-    def counted(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
-        each = lambda st: F.transform(st, lambda p, j: F.struct((p - F.coalesce(F.get(st, j + 1), F.size(s))).alias("minus"), F.get(s, p).alias("word")))
-        return F.get(F.transform(F.array(starts), each), F.lit(0))
 
-    packed = F.when(F.size(t) > 0, F.get(F.transform(F.array(t), counted), F.lit(0)))
-    out = F.transform(F.slice(F.array_sort(packed), 1, most), lambda x: F.struct(x["word"].alias("word"), (-x["minus"]).cast("double").alias("weight")))
-    return F.coalesce(out, F.array().cast("array<struct<word:string,weight:double>>"))
+def top_words(tokens: Column | str, most: int = 500) -> Column:
+    """array<struct<word,weight>>: the ``most`` most frequent words of a text with their counts, ties by word; tokens must have no nulls."""
+    return F.arrow_udf(_top_words(most), "array<struct<word:string,weight:double>>")(F.col(tokens) if isinstance(tokens, str) else tokens)
 
 
 def _of_tokens(most: int):
     def run(tokens: pa.Array) -> pa.Array:
-        size = np.asarray(pc.list_value_length(tokens).fill_null(0))
-        coded = tokens.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        key = np.repeat(np.arange(len(size)), size) * max(1, len(words)) + np.asarray(coded.indices)
-        pairs, n = np.unique(key, return_counts=True)
-        row, word = pairs // max(1, len(words)), pairs % max(1, len(words))
-        rank = np.empty(len(words), np.int64)
-        rank[sorted(range(len(words)), key=lambda i: words[i].encode())] = np.arange(len(words))
-        order = np.lexsort((rank[word], -n, row))
-        row, word, n = row[order], word[order], n[order]
-        each = np.bincount(row, minlength=len(size))
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-        row, word, n = row[nth < most], word[nth < most], n[nth < most]
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)  # as Spark's xxhash64
-        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(size))))
-        return _packed(*[pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(x)) for x in (hashes[word].view(np.int64), n.astype(np.float64))])
+        ends, words, word, n = _ranked(tokens, most)
+        hashes = _hashed(words)[word].view(np.int64)
+        return _packed(pa.ListArray.from_arrays(ends, pa.array(hashes)), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.float64))))
 
     return run
 
 
 def simhash_of_tokens(tokens: Column | str, most: int = 500) -> Column:
-    """``simhash(top_words(tokens, most))``, counted for whole Arrow batches; tokens must have no nulls."""
+    """``simhash(top_words(tokens, most))`` in one step; tokens must have no nulls."""
     return F.arrow_udf(_of_tokens(most), "bigint")(F.col(tokens) if isinstance(tokens, str) else tokens)
 
 

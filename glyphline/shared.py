@@ -5,8 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: dict[str, object] = {}
+
+
+def once[X](key: str, make: Callable[[], X], most: int = 2) -> X:
+    """What ``make`` gave for ``key`` in this process: a worker builds an automaton once, not once a task. The last ``most`` are kept."""
+    if key not in _MADE:
+        while len(_MADE) >= most:
+            del _MADE[next(iter(_MADE))]
+        _MADE[key] = make()
+    return _MADE[key]  # type: ignore[return-value]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.

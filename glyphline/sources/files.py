@@ -107,3 +107,49 @@ def expand_prefixes(ranges: DataFrame, prefix: str = "prefix", spans: str = "ran
 def exam_questions(spark: SparkSession, path: str) -> DataFrame:
     """question_type, question, correct_answer, score; the last two may be missing."""
     return spark.read.schema("question_type string, question string, correct_answer string, score double").json(path)
+
+
+def read_zips(spark: SparkSession, path: str) -> DataFrame:
+    """archive, name, line, value: the lines of every text file in zip archives, an archive a task."""
+    import io
+    import zipfile
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for at, content in zip(f["path"], f["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(n for n in z.namelist() if not n.endswith("/")):
+                        lines = z.read(name).decode("utf-8").split("\n")
+                        lines = lines[:-1] if lines[-1] == "" else lines
+                        yield pd.DataFrame({"archive": at, "name": name, "line": range(len(lines)), "value": lines})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, line long, value string")
+
+
+def write_zips(df: DataFrame, path: str, name: str = "name", order: str = "line", value: str = "value", mode: str = "error") -> None:
+    """An archive ``name.zip`` below ``path`` for each name, with its lines in order; each must fit a task's memory, as dictionaries do."""
+    import base64
+    import io
+    import zipfile
+
+    def run(key, frame):
+        import pandas as pd
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo(key[0]), "".join(f"{v}\n" for v in frame.sort_values("line")["value"]))
+        return pd.DataFrame({"name": [key[0]], "content": [base64.b64encode(out.getvalue()).decode()]})
+
+    rows = df.select(F.col(name).alias("name"), F.col(order).cast("long").alias("line"), F.col(value).alias("value"))
+    made = rows.groupBy("name").applyInPandas(run, "name string, content string")
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    if mode == "error" and store.exists(at):
+        raise FileExistsError(path)
+    for r in made.toLocalIterator():  # one archive at a time
+        out = store.create(jvm.org.apache.hadoop.fs.Path(at, f"{r['name']}.zip"), True)
+        out.write(base64.b64decode(r["content"]))
+        out.close()
