@@ -26,6 +26,7 @@ table makes a manifest without files and no rows.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from array import array
@@ -41,11 +42,11 @@ from pyspark.sql import functions as F
 
 from glyphline.llm.common import cut as checkpointed
 from glyphline.llm.common import fresh_dir, remove_dir, shuffle_partitions
-from glyphline.llm.token_counts import PieceSplitter, tokenizer_path
+from glyphline.llm.token_counts import PieceSplitter, byte_symbols, tokenizer_path
 
 MAGIC, BLOCK, LEVEL = b"GPZ1", 1 << 16, 3
 #: Pieces whose ids a worker keeps; texts that are encoded at once.
-CACHE_PIECES, SLICE = 200_000, 64
+CACHE_PIECES, SLICE = 600_000, 256
 
 
 # -- planes -------------------------------------------------------------------
@@ -191,6 +192,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; the library would start a thread for each of the machine's
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         try:
@@ -199,6 +201,23 @@ class Encoder:
             self.splitter = None
         else:
             self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.splitter.special.items()}
+            vocab = self.splitter.spec["model"]["vocab"]
+            self.leads = np.zeros(max(vocab.values(), default=0) + 1, bool)
+            self.leads[[i for t, i in vocab.items() if t.startswith(byte_symbols()[32])]] = True
+
+    def _learn(self, words: list[str]) -> bool:
+        """Encodes words that begin with a space and go on in letters many at a time, since the library cuts texts where they meet.
+
+        Only a word's first token begins with a space. False, and nothing learned, if those aren't as many as the words.
+        """
+        parts = ["".join(words[k : k + SLICE]) for k in range(0, len(words), SLICE)]
+        raw = b"".join(array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False))
+        start = np.flatnonzero(self.leads[np.frombuffer(raw, "<u4")])
+        if len(start) != len(words):
+            return False
+        at = [*(4 * start).tolist(), len(raw)]
+        self.known.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        return True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.splitter is None:
@@ -208,8 +227,12 @@ class Encoder:
         known = self.known
         if len(known) > CACHE_PIECES:
             known.clear()
-        new = list({w for parts in cut for words in parts[::2] for w in words if w not in known})
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        new = set().union(*[words for parts in cut for words in parts[::2]]).difference(known)
+        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        if not self._learn(words):
+            words = []
+        rest = list(new.difference(words))
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
         out = []
         for parts in cut:
