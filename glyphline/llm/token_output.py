@@ -201,9 +201,9 @@ class Encoder:
             self.splitter = None
         else:
             self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.splitter.special.items()}
-            vocab = self.splitter.spec["model"]["vocab"]
+            vocab, space = self.splitter.spec["model"]["vocab"], byte_symbols()[32]
             self.leads = np.zeros(max(vocab.values(), default=0) + 1, bool)
-            self.leads[[i for t, i in vocab.items() if t.startswith(byte_symbols()[32])]] = True
+            self.leads[[i for t, i in vocab.items() if t.startswith(space)]] = True
 
     def _learn(self, words: list[str]) -> bool:
         """Encodes words that begin with a space and go on in letters many at a time, since the library cuts texts where they meet.
