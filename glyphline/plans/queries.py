@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from glyphline.functions import money, patterns, tags, text, times, udfs
 from glyphline.operators import augment, batching, calendar, datasets, lexicon, new_words, phrases, places, similar
+from glyphline.plans import cases
 from glyphline.shared import cut
 from glyphline.sources import services
 from glyphline.streaming import dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(cases.QUERIES)
+SQL: dict[str, str] = dict(cases.SQL)
 
 
 def query(sql: str | None = None):
