@@ -45,8 +45,8 @@ from glyphline.llm.common import fresh_dir, remove_dir, shuffle_partitions
 from glyphline.llm.token_counts import PieceSplitter, byte_symbols, tokenizer_path
 
 MAGIC, BLOCK, LEVEL = b"GPZ1", 1 << 16, 3
-#: Pieces whose ids a worker keeps; texts that are encoded at once.
-CACHE_PIECES, SLICE = 600_000, 256
+#: Pieces whose ids a worker keeps (some 200 bytes each), the longest of them, and texts that are encoded at once.
+CACHE_PIECES, CACHE_LENGTH, SLICE = 1_500_000, 64, 64
 
 
 # -- planes -------------------------------------------------------------------
@@ -210,7 +210,7 @@ class Encoder:
 
         Only a word's first token begins with a space. False, and nothing learned, if those aren't as many as the words.
         """
-        parts = ["".join(words[k : k + SLICE]) for k in range(0, len(words), SLICE)]
+        parts = ["".join(words[k : k + 256]) for k in range(0, len(words), 256)]
         raw = b"".join(array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False))
         start = np.flatnonzero(self.leads[np.frombuffer(raw, "<u4")])
         if len(start) != len(words):
@@ -238,6 +238,9 @@ class Encoder:
         for parts in cut:
             ids = b"".join(self.special[p] if k % 2 else b"".join(map(known.__getitem__, p)) for k, p in enumerate(parts))
             out.append(np.frombuffer(ids, "<u4"))
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del known[w]
         return out
 
 
