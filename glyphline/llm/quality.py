@@ -126,7 +126,7 @@ class RuleFacts:
 def survey(measured: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[RuleFacts]:
     """The rules in the order of the cascade, estimated on a bounded sample of ``measured``."""
     known = rules()
-    sample = measured.limit(sample_rows).where(~F.col("base_failed")).persist()
+    sample = measured.limit(sample_rows).where(~F.col("base_failed")).repartition(4).persist()
     try:
         flags = F.array(*[F.coalesce(rule, F.lit(False)) for rule in known.values()])
         seen = [(r["flags"], r["n"]) for r in sample.groupBy(flags.alias("flags")).agg(F.count("*").alias("n")).collect()]  # 2 ** rules rows at most
