@@ -166,7 +166,8 @@ def remove_tags(col: Text) -> Column:
 
 def remove_odd_chars(col: Text) -> Column:
     """Characters outside the allowed set become spaces."""
-    return _put(col, f"[^{P.ALLOWED}]", " ")
+    # plain ASCII is told apart first: the class has many ranges, which are tried one by one
+    return _put(col, rf"(?![\x20-\x7e\n])[^{P.ALLOWED}]", " ")
 
 
 def remove_redundant(col: Text, chars: str = P.REDUNDANT) -> Column:
@@ -175,7 +176,9 @@ def remove_redundant(col: Text, chars: str = P.REDUNDANT) -> Column:
 
 
 def full_to_half(col: Text) -> Column:
-    return F.translate(_c(col), *P.widths())
+    """Full-width forms become half-width; texts without any aren't rewritten."""
+    full, half = P.widths()
+    return let(_c(col), lambda t: F.when(t.rlike("[　！-～]"), F.translate(t, full, half)).otherwise(t))
 
 
 def remove_brackets(col: Text, brackets: str = P.BRACKETS) -> Column:
@@ -186,8 +189,11 @@ def remove_brackets(col: Text, brackets: str = P.BRACKETS) -> Column:
     """
     pairs = [brackets[i : i + 2] for i in range(0, len(brackets), 2)]
     pattern = "|".join(f"{P.literal(a)}[^{P.quoted(a + b)}]*{P.literal(b)}" for a, b in pairs)
-    text = _c(col)
-    opened = F.length(text) - F.length(F.translate(text, brackets[::2], ""))
+    return let(_c(col), lambda text: _without_pairs(text, f"[{P.quoted(brackets[::2])}]", pattern))
+
+
+def _without_pairs(text: Column, opening: str, pattern: str) -> Column:
+    opened = F.regexp_count(text, F.lit(opening))
     step = lambda a: let(F.regexp_replace(a["t"], pattern, ""), lambda r: F.struct(r.alias("t"), (F.length(r) == F.length(a["t"])).alias("done")))
     start = F.struct(text.alias("t"), F.lit(False).alias("done"))
     rounds = F.when(opened > 0, F.sequence(F.lit(1), opened)).otherwise(F.array().cast("array<int>"))
