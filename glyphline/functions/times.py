@@ -770,6 +770,30 @@ def _range_of(s: str) -> tuple[str, str] | None:
     return None
 
 
+def occurrences(text: str | None, base: datetime, n: int) -> list[tuple[str, str]]:
+    """The first ``n`` times of a period with a time in it; of working days, those of ``n`` weeks."""
+    first = period((text or "").strip(), base)
+    if first is None or first["start"] is None:
+        return []
+    (unit, width), out = next(iter(first["delta"].items())), []
+    if "工作日" in text:
+        days = [base + timedelta(k) for k in range(7 * n)]
+        every = [period(text.strip(), d) for d in days if d.weekday() < 5]
+    else:
+        every = []
+        for k in range(n):
+            if unit in ("year", "month"):
+                y, m = shift_month(base.year, base.month, int(k * width) * (12 if unit == "year" else 1))
+                at = base.replace(year=y, month=m, day=min(base.day, _last(y, m)))
+            else:
+                at = base + timedelta(**{f"{unit}s": k * width})
+            every.append(period(text.strip(), at))
+    for got in every:
+        if got and (got["start"], got["end"]) not in out:
+            out.append((got["start"], got["end"]))
+    return out
+
+
 def delta(s: str) -> dict | None:
     """A duration on its own; 以上 and 以下 make an open range, two durations a closed one."""
     made = lambda how, lo, hi=None: {"type": "time_delta", "definition": how, "start": None, "end": None, "delta": lo, "delta_hi": hi}
@@ -793,10 +817,16 @@ def delta(s: str) -> dict | None:
     return out
 
 
-def parse(text: str | None, base: datetime, kind: str | None = None, future: bool = False) -> dict | None:
-    """The one reading of a text that is all time; None if it isn't. ``kind`` asks for one type."""
+def parse(text: str | None, base: datetime, kind: str | None = None, future: bool = False, lunar_dates: bool = True) -> dict | None:
+    """The one reading of a text that is all time; None if it isn't. ``kind`` asks for one type.
+
+    ``future``: what is past by the base is taken for the next one. Without ``lunar_dates`` a month and day in
+    numerals alone (三月初五 apart) are of the solar calendar.
+    """
     if not text or not text.strip():
         return None
+    if not lunar_dates and re.fullmatch(rf"{_YF}{N}月(?![0-9])(?!初){N}", text.strip()):
+        text = text.strip() + "日"
     s = re.sub(r"\s+", " ", text.strip()).translate({0xFF10 + i: str(i) for i in range(10)} | {0xFF0D: "-"})
     s = re.sub(r"(?<=[0-9]) (?=[0-9]{1,2}[:：])", "的", s).replace(" ", "")
     if len(s) > 64:
@@ -854,13 +884,13 @@ VALUE = T.StructType([
 SPANS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("type", T.StringType())]))
 
 
-def parse_time(col: Column | str, base: Column | str | datetime, kind: str | None = None, future: bool = False) -> Column:
+def parse_time(col: Column | str, base: Column | str | datetime, kind: str | None = None, future: bool = False, lunar_dates: bool = True) -> Column:
     """struct<type,definition,start,end,delta,delta_hi>; null if it isn't a time. ``base``: a column or one instant."""
 
     @F.pandas_udf(VALUE)
     def run(s: pd.Series, b: pd.Series) -> pd.DataFrame:
         blank = dict.fromkeys(f.name for f in VALUE.fields)
-        rows = [(None if pd.isna(t) else parse(x, t.to_pydatetime(), kind, future)) or blank for x, t in zip(s, b, strict=True)]
+        rows = [(None if pd.isna(t) else parse(x, t.to_pydatetime(), kind, future, lunar_dates)) or blank for x, t in zip(s, b, strict=True)]
         return pd.DataFrame(rows, columns=list(blank), dtype=object)
 
     value = run(F.col(col) if isinstance(col, str) else col, _base(base))
@@ -882,3 +912,15 @@ def extract_time(col: Column | str, base: Column | str | datetime) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     asked = F.when(c.rlike("[年月日号天周期拜时点分秒刻午晚早晨节季旬0-9]"), c)
     return F.when(c.isNotNull(), run(asked, _base(base)))
+
+
+def recurrences(col: Column | str, base: Column | str | datetime, n: int = 4) -> Column:
+    """array<struct<start,end>>: the first times of a period; empty for a text that is none."""
+    pair = T.ArrayType(T.StructType([T.StructField("start", T.StringType()), T.StructField("end", T.StringType())]))
+
+    @F.pandas_udf(pair)
+    def run(s: pd.Series, b: pd.Series) -> pd.Series:
+        rows = [None if x is None or pd.isna(t) else [{"start": a, "end": z} for a, z in occurrences(x, t.to_pydatetime(), n)] for x, t in zip(s, b, strict=True)]
+        return pd.Series(rows, dtype=object)
+
+    return run(F.col(col) if isinstance(col, str) else col, _base(base))

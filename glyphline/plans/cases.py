@@ -170,6 +170,15 @@ case("time_extracts", _time_spans, [
     ("2019年5月到2020年6月之间完工", "2019年5月到2020年6月之间:0:17"),
 ])
 
+# a Wednesday: the next Saturday is the 12th, the working days of two weeks are 9-11, 14-18, 21 and 22
+case("times_recurring", lambda c: F.array_join(F.transform(times.recurrences(c, BASE, 2), lambda x: x["start"]), "|"), [
+    ("每周六上午9点", "2022-03-12 09:00:00|2022-03-19 09:00:00"), ("每年春节", "2022-02-01 00:00:00|2023-01-22 00:00:00"), ("每月15号", "2022-03-15 00:00:00|2022-04-15 00:00:00"),
+    ("每天晚上8点", "2022-03-09 20:00:00|2022-03-10 20:00:00"),
+    ("每个工作日9点", "|".join(f"2022-03-{d:02} 09:00:00" for d in (9, 10, 11, 14, 15, 16, 17, 18, 21, 22))), ("明天", ""),
+])
+case("times_ahead", lambda c: times.parse_time(c, BASE, future=True)["start"], [("周一", "2022-03-14 00:00:00"), ("8点", "2022-03-10 08:00:00"), ("下午三点", "2022-03-09 15:00:00")])
+case("times_solar", lambda c: times.parse_time(c, BASE, lunar_dates=False)["start"], [("四月十三", "2022-04-13 00:00:00"), ("八月十五日", "2022-08-15 00:00:00"), ("正月十五", "2022-02-15 00:00:00")])
+
 
 # -- money ------------------------------------------------------------------------------
 def _money(c: Column) -> Column:
