@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from glyphline.llm import mixing, sharding, simhash
+from glyphline.llm import language_id, mixing, sharding, simhash
 from tests.llm.rows import SCHEMA, no_documents, odd_documents, odd_rows, prose, rowset
 from tests.llm.test_texts import SPACES
 
@@ -329,12 +330,67 @@ def test_pipeline_stages(spark, sf_dir):
 def test_pipeline_of_odd_documents(spark, tmp_path):
     import corpus_pipeline as cp
 
-    odd_documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
-    assert cp.run(spark, str(tmp_path)).columns[0] == "doc_id"
+    docs = odd_documents(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = cp.run(spark, str(tmp_path)).collect()
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    # what comes out are the rows that the stages leave, and columns of clashing names keep their values on the way
+    held = docs
+    for name, stage in cp.STAGES[:-1]:
+        held = spark.createDataFrame(stage(spark, held, str(tmp_path)).collect(), docs.schema)
+        assert held.columns == docs.columns
+        own = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+        assert all(r[c] == f"own {c}" for r in held.collect() for c in own), name
+    want = sorted(((r["doc_id"], len(pieces.encode(r["text"]))) for r in held.collect()), key=repr)
+    assert want and rowset(spark.createDataFrame(out), "doc_id", "n_tokens") == want
     no_documents(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pipeline_language_against_counting(spark, sf_dir):
+    """The first stage keeps the documents whose language has half of the evidence, by trees counted in dicts."""
+    import corpus_pipeline as cp
+
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(r["text"] or "") < 4000]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    order, counts = language_id.ORDER, {}
+    for r in rows:
+        if r["lang"] and (r["text"] or "").strip(" ") and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            raw, own = language_id.folded(r["text"]), counts.setdefault(r["lang"], [{} for _ in range(order + 1)])
+            for i in range(order, len(raw)):
+                for o in range(order + 1):
+                    own[o].setdefault(raw[i - o : i], Counter())[raw[i]] += 1
+    totals = {lang: [{c: (sum(n.values()), len(n)) for c, n in trees.items()} for trees in own] for lang, own in counts.items()}
+
+    def bits(lang, raw):
+        out = 0.0
+        for i in range(order, len(raw)):
+            for o in range(order, -1, -1):
+                c = raw[i - o : i]
+                seen = counts[lang][o].get(c)
+                if seen is None:
+                    continue
+                total, distinct = totals[lang][o][c]
+                if raw[i] in seen:
+                    out -= math.log2(seen[raw[i]] / (total + distinct))
+                    break
+                out -= math.log2(distinct / (total + distinct))
+            else:
+                out += 8
+        return out
+
+    want, unsure = set(), set()
+    for r in rows:
+        if any(c.isalpha() for c in r["text"] or ""):
+            raw = language_id.folded(r["text"])
+            lengths = [bits(lang, raw) for lang in counts]
+            weight = min(1.0, language_id.EVIDENCE / (len(raw) - order))
+            score = 1 / sum(2 ** (-(x - min(lengths)) * weight) for x in lengths)
+            (unsure if abs(score - cp.MIN_SCORE) < 0.01 else want if score > cp.MIN_SCORE else set()).add(r["doc_id"])
+    got = {r["doc_id"] for r in cp.identify_language(spark, docs, sf_dir).collect()}
+    assert got - unsure == want and len(got) > len(rows) / 2
+
+
 def reused_ids():
     """Different texts without an id and with a reused one; classes of such rows alone; equal rows."""
     rng = random.Random(21)
