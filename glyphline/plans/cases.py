@@ -299,6 +299,7 @@ _TEXT = '[[{"word":"火箭","pos":"n"},{"word":"发射","pos":"v"}],[{"word":"
 _NESTED = f"array<{TOKENS}>"
 # each word is a third of the words: 1 for 火箭, 2/3 for 发射, 1/3 for 成功; a pair counts 5.6 times their sum
 case("key_phrases", lambda c: F.array_join(F.transform(phrases.extract_keyphrases(c, _DIC), lambda p: F.concat(p["phrase"], F.format_string(" %.3f", p["weight"]))), "|"), [(_TEXT, "火箭发射 9.333|成功 0.333"), ("[]", "")], _NESTED)
+case("key_phrases_strict", lambda c: F.array_join(F.transform(phrases.extract_keyphrases(c, _DIC, rule=phrases.strict), lambda p: F.concat(p["phrase"], F.format_string(" %.3f", p["weight"]))), "|"), [(_TEXT, "火箭 1.000")], _NESTED)
 # means: (1 + 2/3) / 2 and 1/3, both short and among the first three
 case("summaries", lambda c: phrases.extract_summary(c, _DIC, length=4), [(_TEXT, "火箭发射")], _NESTED)
 case("summaries_whole", lambda c: phrases.extract_summary(c, _DIC), [(_TEXT, "火箭发射的成功")], _NESTED)

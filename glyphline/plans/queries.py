@@ -349,10 +349,19 @@ def lunar_dates(spark, sf_dir):
     return calendar.lunar_to_solar(out, "y", "mo", "d", "leap", "back").select(F.col("day").cast("string").alias("day"), "y", "mo", "d", "leap", F.col("back").cast("string").alias("back"))
 
 
-@query()
+_DIGITS = "translate(y::VARCHAR, '0123456789', '零一二三四五六七八九')"
+_MONTH = "CASE WHEN leap THEN '闰' ELSE '' END || ['正', '二', '三', '四', '五', '六', '七', '八', '九', '十', '十一', '腊'][mo] || '月'"
+_LDAY = "CASE WHEN d <= 10 THEN '初' || substr('一二三四五六七八九十', d, 1) WHEN d < 20 THEN '十' || substr('一二三四五六七八九', d - 10, 1) WHEN d = 20 THEN '二十' WHEN d < 30 THEN '二十' || substr('一二三四五六七八九', d - 20, 1) ELSE '三十' END"
+_CYCLE = "substr('甲乙丙丁戊己庚辛壬癸', (y + 6) % 10 + 1, 1) || substr('子丑寅卯辰巳午未申酉戌亥', (y + 8) % 12 + 1, 1) || '年 (' || substr('鼠牛虎兔龙蛇马羊猴鸡狗猪', (y + 8) % 12 + 1, 1) || '年)'"
+
+
+@query(f"""
+WITH m(y, mo, leap, start, days) AS (VALUES {_MONTHS}), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
+l AS (SELECT day, y, mo, leap, (day - start + 1)::INT AS d FROM o JOIN m ON day >= start AND day < start + days::INT)
+SELECT CAST(day AS VARCHAR) AS day, {_DIGITS} || '年' || {_MONTH} || {_LDAY} || ' ' || {_CYCLE} AS text FROM l""")
 def lunar_texts(spark, sf_dir):
     days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
-    return calendar.solar_to_lunar(days, "day").select("day", calendar.lunar_text("lunar").alias("text"))
+    return calendar.solar_to_lunar(days, "day").select(F.col("day").cast("string").alias("day"), calendar.lunar_text("lunar").alias("text"))
 
 
 @query(f"SELECT o_orderkey, {_s('o_orderkey % 9000 + 1')} || '0000.00' AS lo, '港元' AS currency, 'blur' AS definition, strpos('共花了约' || {_s('o_orderkey % 9000 + 1')} || '万港币。', '港币')::BIGINT + 1 AS ends FROM orders")
