@@ -2,8 +2,7 @@
 
 Six blocks of 10 or 11 bits: fingerprints at distance 3 or less agree in three of
 them at least, so the 20 triples of blocks are keys of 32 bits, and a key's rows
-are few unless texts are alike. Equal fingerprints are grouped before; a hit is
-reduced to the least id, first within each partition.
+are few unless texts are alike. Equal fingerprints are grouped before, so groups of copies make no pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphline.functions.text import hamming
@@ -126,17 +125,17 @@ def search(queries: DataFrame, store: DataFrame, radius: int = 3) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("keys are made for up to 3 differing bits")
-    # the two least ids of a fingerprint: one of them isn't the query itself
-    groups = store.groupBy("fp").agg(F.min("id").alias("m1"), F.max("id").alias("m2"))
-    asked = queries.select("id", F.col("fp").alias("q"))
-    distinct = asked.select("q").distinct().select("q", F.explode(keys("q")).alias("key"))
+    # the two least ids of a fingerprint: one of them isn't the query itself. Each task keeps two a fingerprint before the shuffle
+    nth = F.dense_rank().over(Window.partitionBy("fp").orderBy("id"))
+    groups = store.select("id", "fp").withColumn("nth", nth).where("nth <= 2").groupBy("fp").agg(F.min("id").alias("m1"), F.max("id").alias("m2"))
+    distinct = queries.select(F.col("fp").alias("q")).distinct().select("q", F.explode(keys("q")).alias("key"))
     kept = groups.select("fp", F.explode(keys("fp")).alias("key"))
     hits = distinct.join(kept, "key").where(hamming("q", "fp") <= radius).select("q", "fp").distinct()
-    near = asked.join(hits, "q").join(groups, "fp")
-    other = F.when(F.col("m1") != F.col("id"), F.col("m1")).when(F.col("m2") != F.col("id"), F.col("m2"))
-    # where the query is the least of its own group, the group's next least is looked up
-    own = store.join(asked.select(F.col("id").alias("i"), F.col("q")), (F.col("fp") == F.col("q")) & (F.col("id") > F.col("i"))).groupBy("i").agg(F.min("id").alias("next"))
-    found = near.where(F.col("fp") != F.col("q")).groupBy("id").agg(F.min("m1").alias("a"))
-    same = near.where(F.col("fp") == F.col("q")).groupBy("id").agg(F.min(F.when(F.col("m1") != F.col("id"), other)).alias("b"))
-    out = queries.select("id").join(found, "id", "left").join(same, "id", "left").join(own.withColumnRenamed("i", "id"), "id", "left")
-    return out.select("id", F.least("a", "b", "next").alias("match"))
+    own = F.col("fp") == F.col("q")
+    # one row a queried fingerprint, so that copies of a query meet no copies of its matches
+    best = hits.join(groups, "fp").groupBy("q").agg(
+        F.min(F.when(~own, F.col("m1"))).alias("other"), F.min(F.when(own, F.col("m1"))).alias("first"), F.min(F.when(own, F.col("m2"))).alias("second")
+    )
+    asked = queries.select("id", F.col("fp").alias("q")).join(best, "q", "left")
+    same = F.when(F.col("first") != F.col("id"), F.col("first")).when(F.col("second") != F.col("id"), F.col("second"))
+    return asked.select("id", F.least("other", same).alias("match"))

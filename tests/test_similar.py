@@ -37,7 +37,8 @@ def test_fingerprints_are_those_of_the_definition(spark):
 def test_search_finds_the_least_near_id(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(60)]
-    points = [b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(5))) for b in base for _ in range(3)] + base[:9]
+    base[5] = base[4]
+    points = [base[0]] * 40 + [b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(5))) for b in base for _ in range(3)] + base[:9]
     signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(points)]
     store = spark.createDataFrame(signed, "id long, fp long")
     got = {r["id"]: r["match"] for r in similar.search(store.where(F.col("id") % 2 == 0), store).collect()}
