@@ -29,7 +29,6 @@ MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 #: Marks that end or divide sentences.
 STOPS = ".,;:!?。，；：！？、"
-SPACE = " \t\n\x0b\x0c\r"
 #: Rows from which costs and selectivities are estimated (expected; twice as many at most).
 SAMPLE_ROWS = 1_000
 #: Evaluations of a rule on each sampled row; least seconds that two jobs are told apart by.
@@ -66,13 +65,12 @@ def repeated_words(windows: Column, size: int = WINDOW) -> Column:
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed (existing columns of these names are replaced)."""
-    new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "_text", "_lines", "_hashes", "_windows", "_dense"]
+    new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "_text", "_lines", "_hashes", "_windows"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     has_word = lambda line: line.rlike(WORD)
     df = docs.select(*kept, text_or_empty(text_col).alias("_text"))
     df = df.select(
         "*",
-        F.translate("_text", SPACE, "").alias("_dense"),
         F.filter(F.split("_text", "\n"), has_word).alias("_lines"),
         F.transform(F.filter(F.split("_text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("_hashes"),
     )
@@ -86,8 +84,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_text",
         "_hashes",
         F.size("_hashes").cast("bigint").alias("n_words"),
-        F.length("_dense").cast("bigint").alias("word_chars"),
-        (F.length("_dense") - F.length(F.translate("_dense", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        (F.length("_text") - F.regexp_count("_text", F.lit("[\\x20\\x09-\\x0D]"))).cast("bigint").alias("word_chars"),
+        F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         fenced(F.coalesce(repeated_words(F.col("_windows")), F.lit(0)).cast("bigint")).alias("n_repeat_words"),
@@ -101,14 +99,14 @@ def rules() -> dict[str, Column]:
     n, chars = F.col("n_words"), F.col("word_chars")
     letters = F.length(F.regexp_replace("_text", "[^\\p{L}]+", ""))
     capitals = F.length(F.regexp_replace("_text", "[^\\p{Lu}]+", ""))
-    count = lambda marks: F.length("_text") - F.length(F.translate("_text", marks, ""))
+    count = lambda mark: F.length("_text") - F.length(F.replace("_text", F.lit(mark)))
     return {
         "symbols": 2 * F.col("n_symbols") > n,
         "menus": 20 * count("|") > n,
         "repeated_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
         "few_letters": 4 * letters < 3 * chars,
         "monotone": (n < 300) & (10 * F.size(F.array_distinct("_hashes")) < 3 * n),
-        "unpunctuated": 20 * count(STOPS) < n,
+        "unpunctuated": 20 * F.regexp_count("_text", F.lit(f"[{STOPS}]")) < n,
         "shouting": (2 * count("!") > n) | (10 * capitals > 7 * letters),
     }
 
