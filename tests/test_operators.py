@@ -199,4 +199,4 @@ def test_catalog(spark):
 def test_registered_back_translations_keep_rows(spark, sf_dir):
     from glyphline.plans import queries as plans
 
-    assert plans.QUERIES["back_translations_kept"](spark, sf_dir).count() > 0
+    assert plans.QUERIES["back_translations"](spark, sf_dir).count() > 0
