@@ -220,8 +220,9 @@ def replace_id_card(col: Text, token: str = "<id>") -> Column:
     return _put(col, P.ID_CARD, token)
 
 
-def replace_qq(col: Text, strict: bool = True, token: str = "<qq>") -> Column:
-    done = _put(col, P.QQ, token)
+def replace_qq(col: Text, strict: bool = True, token: str = "<qq>", words: bool = False) -> Column:
+    """Strict: only in texts that name the service. Words: only numbers that no letter touches, so that names with numbers stay whole."""
+    done = _put(col, P.QQ_WORD if words else P.QQ, token)
     return F.when(_c(col).rlike(P.QQ_NAMED), done).otherwise(_c(col)) if strict else done
 
 

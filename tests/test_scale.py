@@ -5,9 +5,13 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from glyphline.functions import text
+from glyphline.plans import queries as plans
 from glyphline.streaming import dedup
 
 
@@ -45,3 +49,21 @@ def test_near_fingerprints_in_parts():
         for most in (1 << 20, 50):
             ends, near = dedup._near(fps, np.arange(len(fps)), block, 3, most)
             assert [near[a:b] for a, b in zip(ends, ends[1:])] == [np.flatnonzero(x).tolist() for x in alike]
+
+
+def test_masked_names_keep_their_numbers(spark):
+    rows = spark.createDataFrame([("加QQ：1000001，微信:wx_100000abc，a1234567",), ("1234567",)], "t string")
+    got = [tuple(r) for r in rows.select(text.replace_qq("t", words=True), text.replace_qq("t")).collect()]
+    assert got == [("加QQ：<qq>，微信:wx_100000abc，a1234567", "加QQ：<qq>，微信:wx_<qq>abc，a<qq>"), ("1234567", "1234567")]
+
+
+def test_contacts_of_large_keys_as_their_sql(spark, tmp_path):
+    keys = [1, 99_999, 100_000, 123_456, 899_999, 900_001, 5_399_999]
+    folder = str(tmp_path)
+    pd.DataFrame({"c_custkey": keys, "c_nationkey": np.array([k % 25 for k in keys], np.int32)}).to_parquet(f"{folder}/customer.parquet")
+    for name in ("contact_masked", "contact_extracts", "contact_removed"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet'")
+        want = con.execute(plans.SQL[name]).df()
+        got = plans.QUERIES[name](spark, folder).toPandas()[list(want.columns)]
+        assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())), name
