@@ -56,3 +56,14 @@ def cut(df: DataFrame) -> DataFrame:
     frame is no longer referenced (``cleanCheckpoints``)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt evenly to all cores, for costly work on each row.
+
+    A task of a scan has whole row groups (up to a million rows in many writers), and
+    some have none, so a file with few of them leaves most cores idle. To be used on
+    narrow rows, before texts are made of them, or where texts move nowhere else.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))

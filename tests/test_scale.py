@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from glyphline.functions import text
@@ -67,3 +68,13 @@ def test_contacts_of_large_keys_as_their_sql(spark, tmp_path):
         want = con.execute(plans.SQL[name]).df()
         got = plans.QUERIES[name](spark, folder).toPandas()[list(want.columns)]
         assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())), name
+
+
+def _largest_share(spark, sf_dir, name):
+    sizes = [r["count"] for r in plans.QUERIES[name](spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+@pytest.mark.parametrize("name", ["contact_extracts", "contact_masked"])
+def test_contacts_are_dealt_to_all_cores(spark, sf_dir, name):
+    assert _largest_share(spark, sf_dir, name) < 0.2
