@@ -75,6 +75,6 @@ def _largest_share(spark, sf_dir, name):
     return max(sizes) / sum(sizes)
 
 
-@pytest.mark.parametrize("name", ["contact_extracts", "contact_masked"])
+@pytest.mark.parametrize("name", ["contact_extracts", "contact_removed", "contact_masked"])
 def test_contacts_are_dealt_to_all_cores(spark, sf_dir, name):
     assert _largest_share(spark, sf_dir, name) < 0.2
