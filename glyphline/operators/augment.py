@@ -19,8 +19,10 @@ STRINGS = T.ArrayType(T.StringType())
 
 def _several(text: str, n: int, seed: int, once, attempts: int) -> list:
     out = []
+    rng = random.Random(0)
     for k in range(attempts):
-        new = once(random.Random(f"{seed}:{k}:{text}"))
+        rng.seed(f"{seed}:{k}:{text}")
+        new = once(rng)
         if new != text and new not in out:
             out.append(new)
         if len(out) == n:
@@ -28,17 +30,22 @@ def _several(text: str, n: int, seed: int, once, attempts: int) -> list:
     return out
 
 
-def swapped(text: str, rng: random.Random, ratio: float, scale: float) -> str:
+def _places(text: str) -> list[tuple[int, int, int]]:
+    """Each Han character's place and the ends of its run."""
+    return [(i, a, b) for a, b in (run.span() for run in re.finditer("[一-龥]+", text)) for i in range(a, b)]
+
+
+def swapped(text: str, rng: random.Random, ratio: float, scale: float, places: list[tuple[int, int, int]] | None = None) -> str:
     """Han characters trade places with another of their run, near by a normal law."""
-    chars = list(text)
-    for run in re.finditer("[一-龥]+", text):
-        a, b = run.span()
-        for i in range(a, b):
-            if rng.random() < ratio:
-                j = i + (round(rng.gauss(0, scale)) or rng.choice((-1, 1)))
-                if a <= j < b:
-                    chars[i], chars[j] = chars[j], chars[i]
-    return "".join(chars)
+    chars = None
+    draw = rng.random
+    for i, a, b in _places(text) if places is None else places:
+        if draw() < ratio:
+            j = i + (round(rng.gauss(0, scale)) or rng.choice((-1, 1)))
+            if a <= j < b:
+                chars = chars or list(text)
+                chars[i], chars[j] = chars[j], chars[i]
+    return "".join(chars) if chars else text
 
 
 def noised(text: str, rng: random.Random, add: float, delete: float, letters: list[tuple[str, float]]) -> str:
@@ -62,7 +69,11 @@ def _udf(col: Column | str, kind: T.DataType, fn) -> Column:
 
 
 def swap_positions(col: Column | str, n: int = 3, ratio: float = 0.02, seed: int = 1, scale: float = 1.0) -> Column:
-    return _udf(col, STRINGS, lambda t: _several(t, n, seed, lambda r: swapped(t, r, ratio, scale), min(int(n / ratio), max(1, len(t)))))
+    def several(t: str) -> list:
+        places = _places(t)
+        return _several(t, n, seed, lambda r: swapped(t, r, ratio, scale, places), min(int(n / ratio), max(1, len(t))))
+
+    return _udf(col, STRINGS, several)
 
 
 def add_and_delete(col: Column | str, letters: dict[str, int], n: int = 3, add: float = 0.02, delete: float = 0.02, seed: int = 1) -> Column:

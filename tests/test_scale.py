@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphline.functions import text
+from glyphline.operators import augment
 from glyphline.plans import queries as plans
 from glyphline.streaming import dedup
 
@@ -78,3 +79,9 @@ def _largest_share(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["contact_extracts", "contact_removed", "contact_masked"])
 def test_contacts_are_dealt_to_all_cores(spark, sf_dir, name):
     assert _largest_share(spark, sf_dir, name) < 0.2
+
+
+def test_augmented_texts_are_dealt_to_all_cores(spark, sf_dir):
+    assert _largest_share(spark, sf_dir, "augmented_texts") < 0.2
+    for k, t in enumerate(["", "a", "汉字abc" * 20, "𠀀汉" * 50]):
+        assert augment.swapped(t, random.Random(k), 0.5, 2.0, augment._places(t)) == augment.swapped(t, random.Random(k), 0.5, 2.0)
