@@ -11,8 +11,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from glyphline.functions import text
-from glyphline.operators import augment, phrases
+from glyphline.functions import tags, text
+from glyphline.operators import augment, batching, phrases
 from glyphline.plans import queries as plans
 from glyphline.streaming import dedup
 
@@ -100,3 +100,22 @@ def test_loose_grams_are_those_of_the_rule():
         for rest in ((25, 1, 1, 0), (6, 3, 2, 1), (9, 1, 0, 2)):
             every = [(i, j) for i in range(len(s)) for j in range(i + 1, min(len(s), i + 12) + 1)]
             assert list(phrases._loose_grams(s, dic, 12, *rest)) == [(i, j) for i, j in every if phrases.loose(s[i:j], dic, *rest)]
+
+
+def test_models_get_slices_of_a_batch(spark):
+    """However many rows an Arrow batch has, few are Python lists at once; labels are those of whole rows."""
+    rows = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.expr("transform(sequence(1, 1 + cast(id % 90 as int)), x -> concat('w', x))")).alias("tk"))
+
+    def model(lists):
+        assert len(lists) <= 4 * 512  # 91 tokens are three parts at most
+        return [[t + "!" for t in ts] for ts in lists]
+
+    for out in (batching.in_chunks(rows, "tk", model, 40, 7), batching.by_sentences(rows, "tk", model, longest=95), batching.labelled(rows, "tk", model), batching.by_length(rows, "tk", model)):
+        got = out.collect()
+        assert len(got) == 3000 and all(r["tags"] == [t + "!" for t in r["tk"] or []] for r in got)
+    for size, overlap in ((5, 0), (5, 3), (6, 5), (50, 10)):
+        numbered = lambda lists: [[f"{t}/{len(ts)}" for t in ts] for ts in lists]  # noqa: E731, B023
+        cut = rows.where("id < 200").select("id", "tk", tags.chunks("tk", size, overlap).alias("c"))
+        want = cut.select("id", tags.rejoin(F.transform("c", lambda c: F.transform(c, lambda t: F.concat(t, F.lit("/"), F.size(c).cast("string")))), overlap).alias("tags"))
+        own = batching.in_chunks(rows.where("id < 200"), "tk", numbered, size, overlap).select("id", "tags")
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
