@@ -7,6 +7,8 @@ array or false. Nothing depends on what was called before.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,7 +138,7 @@ def _put(col: Text, pattern: str, token: str) -> Column:
 
 
 def remove_email(col: Text, prefix: bool = False) -> Column:
-    return _put(col, f"(?:{P.EMAIL_PREFIX})?{P.EMAIL}" if prefix else P.EMAIL, "")
+    return _put(col, P.led(P.EMAIL_PREFIX, P.EMAIL_PREFIX_FIRST, P.EMAIL) if prefix else P.EMAIL, "")
 
 
 def remove_url(col: Text) -> Column:
@@ -144,8 +146,8 @@ def remove_url(col: Text) -> Column:
 
 
 def remove_phone(col: Text, prefix: bool = False) -> Column:
-    lead = f"(?:{P.PHONE_PREFIX})?" if prefix else ""
-    return _put(_put(col, lead + P.CELL, ""), lead + P.LANDLINE, "")
+    lead = lambda core: P.led(P.PHONE_PREFIX, P.PHONE_PREFIX_FIRST, core) if prefix else core
+    return _put(_put(col, lead(P.CELL), ""), lead(P.LANDLINE), "")
 
 
 def remove_ip(col: Text) -> Column:
@@ -172,7 +174,8 @@ def remove_odd_chars(col: Text) -> Column:
 
 def remove_redundant(col: Text, chars: str = P.REDUNDANT) -> Column:
     """Runs of one of ``chars`` shrink to one."""
-    return F.regexp_replace(_c(col), f"([{P.quoted(chars)}])\\1+", "$1")
+    # a repeated character is told first: the class has many characters, which are tried one by one
+    return F.regexp_replace(_c(col), f"(?s)(.)\\1(?<=[{P.quoted(chars)}])\\1*", "$1")
 
 
 def full_to_half(col: Text) -> Column:
@@ -188,15 +191,17 @@ def remove_brackets(col: Text, brackets: str = P.BRACKETS) -> Column:
     one has changed nothing, so their number follows the depth of nesting.
     """
     pairs = [brackets[i : i + 2] for i in range(0, len(brackets), 2)]
-    pattern = "|".join(f"{P.literal(a)}[^{P.quoted(a + b)}]*{P.literal(b)}" for a, b in pairs)
-    return let(_c(col), lambda text: _without_pairs(text, f"[{P.quoted(brackets[::2])}]", pattern))
+    # what is no letter or digit, then an opening bracket, is told first: elsewhere all pairs would be tried one by one
+    opening = ("" if re.search(f"[0-9A-Za-z{P.HAN}]", brackets[::2]) else rf"(?![\p{{Alnum}}{P.HAN}])") + f"[{P.quoted(brackets[::2])}]"
+    pattern = f"(?={opening})(?:" + "|".join(f"{P.literal(a)}[^{P.quoted(a + b)}]*{P.literal(b)}" for a, b in pairs) + ")"
+    return let(_c(col), lambda text: let(F.regexp_replace(text, pattern, ""), lambda t: _without_pairs(t, F.length(t) == F.length(text), opening, pattern)))
 
 
-def _without_pairs(text: Column, opening: str, pattern: str) -> Column:
-    opened = F.regexp_count(text, F.lit(opening))
+def _without_pairs(text: Column, done: Column, opening: str, pattern: str) -> Column:
+    """``text`` after further passes: none if the first changed nothing (``done``), and no more than opening brackets are left."""
+    rounds = F.array_repeat(F.lit(0), F.when(done, F.lit(0)).otherwise(F.regexp_count(text, F.lit(opening))))
     step = lambda a: let(F.regexp_replace(a["t"], pattern, ""), lambda r: F.struct(r.alias("t"), (F.length(r) == F.length(a["t"])).alias("done")))
     start = F.struct(text.alias("t"), F.lit(False).alias("done"))
-    rounds = F.when(opened > 0, F.sequence(F.lit(1), opened)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(rounds, start, lambda a, _: F.when(a["done"], a).otherwise(step(a)), lambda a: a["t"])
 
 

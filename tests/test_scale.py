@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import duckdb
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from glyphline.functions import tags, text, times
+from glyphline.functions import patterns, tags, text, times
 from glyphline.operators import augment, batching, phrases
 from glyphline.plans import queries as plans
 from glyphline.streaming import dedup
@@ -81,6 +82,38 @@ def test_contacts_are_dealt_to_all_cores(spark, sf_dir, name):
     assert _largest_share(spark, sf_dir, name) < 0.2
 
 
+def test_removal_costs_no_more_with_more_names(spark, monkeypatch):
+    """Names and brackets are tried only where one begins, not at every character."""
+    rows = spark.range(0, 512, 1, 4).select(F.repeat(F.concat(F.lit("汉字数据12"), F.col("id").cast("string")), 1500).alias("t")).cache()
+    rows.count()
+
+    def seconds(step):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert rows.where(step("t") != F.col("t")).count() == 0
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    far = "".join(map(chr, range(0xE000, 0xE000 + 400)))
+    assert seconds(lambda t: text.remove_brackets(t, far)) < 4 * seconds(lambda t: text.remove_brackets(t, "()"))
+    plain = seconds(text.remove_phone)
+    monkeypatch.setattr(patterns, "PHONE_PREFIX", patterns.any_of(f"电{c}" for c in far))
+    assert seconds(lambda t: text.remove_phone(t, prefix=True)) < 4 * plain
+    rows.unpersist()
+
+
+def test_removal_with_names_and_runs(spark):
+    asked = [
+        (lambda t: text.remove_phone(t, prefix=True), "TEL: 13800138000，xtel13800138000，电 话号码：010-12345678，手 机:x，手-13800138000", "，x，，手 机:x，手"),
+        (lambda t: text.remove_email(t, prefix=True), "E-mail：a.b@c.com，xemail:a@b.cn，邮箱地址a_b-c@d.e.org，邮x@y.cn", "，x，，邮"),
+        (lambda t: text.remove_brackets(t, "a.汉字"), "xa1.2汉a.字3.", "x23."), (text.remove_brackets, "（a(b)[c｛d｝）]（", "]（"),
+        (lambda t: text.remove_redundant(t, "😀a]^-"), "😀😀😀aab]]^^--cc", "😀ab]^-cc"), (text.remove_redundant, "哈哈\n\n汉汉　　", "哈\n汉汉　"),
+    ]
+    for step, given, want in asked:
+        assert spark.range(1).select(step(F.lit(given)), step(F.lit(None).cast("string"))).collect()[0][:] == (want, None), given
+
+
 def test_augmented_texts_are_dealt_to_all_cores(spark, sf_dir):
     assert _largest_share(spark, sf_dir, "augmented_texts") < 0.2
     for k, t in enumerate(["", "a", "汉字abc" * 20, "𠀀汉" * 50]):
